@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import knn, split, tokens
+from scriptoria.llm import knn, neardup, split, tokens
 from scriptoria.session import table
 
 BODY = (4000, 400)
@@ -42,12 +42,28 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "neighbour", F.round("cosine", 5).alias("cosine"))
 
 
+#: TESTDATA's definition: runs of three words, at least half of them shared; no pair lies between 0.4 and 0.6.
+ALIKE = {"threshold": 0.5, "sure": 0.6}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pages whose bodies share at least half of their runs of three words."""
+    reps, members = neardup.classes(table(spark, d, "knowledge_pages"), "id", "body", 3)
+    return neardup.expand_pairs(neardup.similar_pairs(reps, **ALIKE), members).distinct()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its class of equal texts, its group of similar ones and its number of links."""
+    out = neardup.groups(table(spark, d, "knowledge_pages"), "id", "body", words=3, **ALIKE)
+    return out.select(F.col("member").alias("id"), "rep", F.col("component").alias("group_id"), "links")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k; null and empty texts have the empty list."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids}
 
 _V = """v AS (SELECT DISTINCT vec_id, version_id, CAST(embedding AS DOUBLE[64]) AS e FROM vec_index
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
@@ -63,6 +79,11 @@ SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE n <=
   FROM v a JOIN v b ON a.version_id = b.version_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c)
 SELECT a AS id, b AS neighbour, round(s, 5) AS cosine FROM r WHERE n <= 5""",
+    "p5_found": r"""WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(body), '[\p{Han}\p{Hiragana}\p{Katakana}]|[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*|\p{N}+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*') AS w FROM knowledge_pages WHERE trim(body) <> ''),
+s AS (SELECT DISTINCT id, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)""",
 }
 
 
