@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import knn, neardup, split, tokens
-from scriptoria.session import table
+from scriptoria.llm import knn, mixing, neardup, pii, plain, split, tokens
+from scriptoria.session import cut, table
 
 BODY = (4000, 400)
 CHUNK = (1600, 160)
@@ -30,6 +30,35 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return bodies.unionByName(chunks)
 
 
+def _forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id, field_name, value) of all pages and (field_name, value, plain, is_case) of their distinct values."""
+    pages = table(spark, d, "knowledge_pages")
+    long = pages.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("category", "title")])).alias("p")).select("id", "p.*")
+    long = long.where("value IS NOT NULL").distinct()
+    field = lambda f: long.where(F.col("field_name") == f).select("value")
+    tree = table(spark, d, "category_tree").select(F.col("category").alias("value")).where("value IS NOT NULL").distinct()
+    titles = field("title").where(~plain.ascii_only(F.col("value")))
+    every = cut(plain.plain_forms(titles.unionByName(field("category")).unionByName(tree)))
+    titles = every.join(titles.distinct(), "value", "left_semi").select(F.lit("title").alias("field_name"), "value", "plain", (F.col("plain") != F.col("value")).alias("is_case"))
+    tree = every.join(tree, "value", "left_semi").select("skeleton", F.col("value").alias("spelling"))
+    forms = every.join(field("category").distinct(), "value", "left_semi").join(tree, "skeleton", "left")
+    reads_like = F.col("spelling").isNotNull() & (plain.folded(F.col("value")) != plain.folded(F.col("spelling")))
+    cats = forms.select(F.lit("category").alias("field_name"), "value", F.coalesce("spelling", "plain").alias("plain"), ((F.col("plain") != F.col("value")) | F.coalesce(reads_like, F.lit(False))).alias("is_case"))
+    return long, titles.unionByName(cats)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and fields that are not in plain form."""
+    long, forms = _forms(spark, d)
+    return long.join(forms.where("is_case"), ["field_name", "value"], "left_semi").select("id", "field_name").distinct()
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every category and title with its one consistent form (category_tree's spelling where it reads alike)."""
+    long, forms = _forms(spark, d)
+    return long.join(forms.drop("is_case"), ["field_name", "value"], "left").select("id", "field_name", "value", F.coalesce("plain", "value").alias("plain"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with a cosine of 0.82 or more, one among the five most similar of the other."""
     near = knn.neighbours(table(spark, d, "vec_index"), "vec_id", "embedding", "version_id", min_cos=0.82)
@@ -63,7 +92,30 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids}
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """For each mix the documents chosen and how often."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Targets and what was reached."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention with its kind and the place of its first character."""
+    found = pii.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "people_names"))
+    return found.select(F.col("key").alias("doc_id"), F.explode("mentions").alias("m")).select("doc_id", "m.kind", "m.start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with typed placeholders."""
+    docs = table(spark, d, "documents")
+    found = pii.mentions(docs, "doc_id", "text", table(spark, d, "people_names"))
+    return pii.redact(docs, "doc_id", "text", found).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 _V = """v AS (SELECT DISTINCT vec_id, version_id, CAST(embedding AS DOUBLE[64]) AS e FROM vec_index
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
