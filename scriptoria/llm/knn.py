@@ -2,8 +2,8 @@
 
 * Exact copies become one class. A class keeps its k+1 smallest ids, which is all that can ever be among anybody's
   k nearest (ties go to the smaller id), so groups of copies of any size cost nothing.
-* The trees are fitted on a bounded sample (``sample_rows`` per collection, a documented parameter; the smallest
-  hashes of the id, hence repeatable): each node splits by the hyperplane halfway between two sampled points.
+* The trees are fitted on a bounded sample (``sample_rows`` per collection, a documented parameter; chosen by a hash
+  of the id, hence repeatable): each node splits by the hyperplane halfway between two sampled points.
   Every row of the collection is indexed. The broadcast forest is bounded by ``sample_rows * trees``.
 * A query walks all trees through one priority queue ordered by the margin to the splits taken, and stops after
   ``probes`` leaves; rows are stored in one leaf per tree.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptoria.llm.sampling import hash_sample
 from scriptoria.session import cut
 
 
@@ -155,12 +156,12 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, group: str, dim: int,
 
 
 def fit(reps: DataFrame, dim: int, trees: int, leaf_rows: int, sample_rows: int, seed: int) -> dict:
-    """A forest per collection, fitted on the ``sample_rows`` rows of least hash. Collections must be few (versions)."""
+    """A forest per collection, fitted on about ``sample_rows`` rows by hash of the id. Collections must be few (versions)."""
     forests = {}
     for grp, n in sorted((r["grp"], r["n"]) for r in reps.groupBy("grp").agg(F.count("*").alias("n")).collect()):
         own = reps.where(F.col("grp") == grp)
-        sample = own.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(sample_rows).select("vec").toArrow().column("vec")
-        x = matrix(sample, dim)
+        sample = hash_sample(own, ["rep"], sample_rows, n, f"trees {seed}").select("rep", "vec").toArrow().sort_by("rep")
+        x = matrix(sample.column("vec"), dim)
         leaf = max(8, int(leaf_rows * len(x) / max(1, n)))
         forests[grp] = Forest(x, 1 if len(x) <= leaf else trees, leaf, seed)
     return forests

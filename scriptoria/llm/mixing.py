@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.llm.sampling import hash_sample
 from scriptoria.llm.tokens import encoder
 from scriptoria.session import cut
 
@@ -39,8 +40,8 @@ def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit_classifier(docs: DataFrame, key: str, text: str, label: str, train_rows: int) -> tuple[list[str], np.ndarray]:
     """Sources in order and log-probabilities (sources, WIDTH + 1; the last column is the prior), from a bounded sample."""
     known = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[label].alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    rows = known.orderBy(F.xxhash64("k", F.lit("mix")), "k").limit(train_rows).select("t", "l").collect()
     prior = {r["l"]: r["n"] for r in docs.where(docs[label].isNotNull()).groupBy(docs[label].alias("l")).agg(F.count("*").alias("n")).collect()}
+    rows = hash_sample(known, ["k"], train_rows, sum(prior.values()), "mix").orderBy("k").select("t", "l").collect()
     names = sorted(prior)
     counts = np.ones((len(names), WIDTH))
     for r in rows:

@@ -4,8 +4,8 @@
    expressions for its form, gazetteers for its words, context words before and after it.
 2. Spans are counted by kind and vote pattern over all documents; the patterns (at most 3**labellers a kind) are all
    that reaches the driver. EM over them estimates how reliable each labeller is and the posterior of each pattern.
-3. A logistic span classifier per kind is trained on those posteriors, on at most ``train_rows`` spans a kind (least
-   hashes; a documented bound), with the votes, the span's form and the words around it as features. It scores every
+3. A logistic span classifier per kind is trained on those posteriors, on about ``train_rows`` spans a kind (chosen by
+   hash; a documented bound), with the votes, the span's form and the words around it as features. It scores every
    span of every document; accepted spans are freed of overlaps, leftmost first, then longest.
 
 Documents are processed whole, one row per document from the scan to the result, without a shuffle.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.llm.sampling import hash_sample
 from scriptoria.session import cut
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -240,7 +241,8 @@ def fit(spans: DataFrame, train_rows: int) -> np.ndarray:
         if not patterns:
             continue
         post, _, _ = reliabilities(patterns)
-        sample = one.where(F.col("kind") == k).select("votes", "feats", F.xxhash64("key", "start").alias("h"), "key", "start").orderBy("h", "key", "start").limit(train_rows)
+        own = one.where(F.col("kind") == k)
+        sample = hash_sample(own, ["key", "start"], train_rows, sum(n for _, n in patterns), "spans").orderBy("key", "start")
         weights[k] = train([(r["feats"], post[tuple(r["votes"])]) for r in sample.select("votes", "feats").collect()])
     return weights
 
