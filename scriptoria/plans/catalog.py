@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptoria.plans import orphan_plans
+from scriptoria.plans import orphan_plans, retrieval_plans
 
-MODULES = [orphan_plans]
+MODULES = [orphan_plans, retrieval_plans]
 
 
 def queries() -> dict:
