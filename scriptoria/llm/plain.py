@@ -28,6 +28,8 @@ LOOK_ALIKES = {
 HYPHENS = "‐‑‒–⁃−֊᠆⸗"
 # Characters that draw nothing although their category does not say so.
 BLIND = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10)]))
+#: Above every combining class: nothing composes past a starter that stayed.
+BLOCKED = 256
 ALPHABETS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "GEORGIAN", "CHEROKEE")
 
 
@@ -143,7 +145,7 @@ def plain_forms(values: DataFrame, value: str = "value") -> DataFrame:
 
     def step(a: Column, m: Column) -> Column:
         made = F.when((a["rest"] == "") | (a["ccc"] < m["ccc"]), F.try_element_at("pairs", F.concat(a["cur"], m["ch"])))
-        return F.struct(F.coalesce(made, a["cur"]).alias("cur"), F.when(made.isNull(), m["ccc"]).otherwise(a["ccc"]).alias("ccc"), F.when(made.isNull(), F.concat(a["rest"], m["ch"])).otherwise(a["rest"]).alias("rest"))
+        return F.struct(F.coalesce(made, a["cur"]).alias("cur"), F.when(made.isNull(), F.when(m["ccc"] == 0, BLOCKED).otherwise(m["ccc"])).otherwise(a["ccc"]).alias("ccc"), F.when(made.isNull(), F.concat(a["rest"], m["ch"])).otherwise(a["rest"]).alias("rest"))
 
     whole = F.aggregate("marks", F.struct(F.col("base2").alias("cur"), F.lit(0).alias("ccc"), F.lit("").alias("rest")), step, lambda a: F.concat(a["cur"], a["rest"]))
     bare = F.concat(F.coalesce("latin", "base"), F.array_join(F.transform("marks", lambda m: m["ch"]), ""))
