@@ -31,26 +31,103 @@ def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Up to so many queries are scored against each batch of chunks in place; more of them go through a join on terms.
+IN_PLACE_QUERIES = 50_000
+QUERY_BLOCK = 2000
+CHUNK_BLOCK = 1000
+
+
+def _weight(tf, dl, avgdl, df, n):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), (n - df + 0.5) / (df + 0.5)
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank). ``queries``: query_id, q; ``chunks``: chunk_id, text.
 
-    Postings are restricted to the terms asked for before they are grouped; statistics cover every chunk.
+    Statistics cover every chunk. A query set of checked size is broadcast and scored where the chunks are: a task
+    sends k rows per query. A larger one is joined on terms.
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term"))
-    terms = asked.select("term").distinct()
     sized = chunks.select("chunk_id", word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL").withColumn("dl", F.size("tokens"))
+    if queries.count() <= IN_PLACE_QUERIES:
+        return _bm25_in_place(asked, sized, k)
+    return _bm25_join(asked, sized, k)
+
+
+def _bm25_join(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
+    """Postings are restricted to the terms asked for before they are grouped; hot terms are left to the skew join."""
+    terms = asked.select("term").distinct()
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = (
-        postings.join(df, "term")
-        .join(F.broadcast(stats))
-        .select("term", "chunk_id", (F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    )
+    part, odds = _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n"))
+    weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", (F.log(odds + 1) * part).alias("w"))
     scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scored, "query_id", "score", "chunk_id", k)
 
 
+def _bm25_in_place(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
+    spark = asked.sparkSession
+    rows = asked.toArrow().to_pydict()
+    ids = sorted(set(rows["query_id"]))
+    at = {q: i for i, q in enumerate(ids)}
+    wanted: dict[str, list[int]] = {}
+    for q, term in zip(rows["query_id"], rows["term"]):
+        wanted.setdefault(term, []).append(at[q])
+    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {sized.schema['chunk_id'].dataType.simpleString()}, score double"
+    if not wanted:
+        return top(spark.createDataFrame([], kind), "query_id", "score", "chunk_id", k)
+    n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
+    terms = spark.sparkContext.broadcast(frozenset(wanted))
+
+    def count(batches):
+        df: dict[str, int] = {}
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for x in terms.value.intersection(t):
+                    df[x] = df.get(x, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
+
+    counted = sized.select("tokens").mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    idf = {r["term"]: float(np.log(_weight(1, 1, 1, r["df"], n)[1] + 1)) for r in counted}
+    shared = spark.sparkContext.broadcast((ids, {t: (np.array(q), idf[t]) for t, q in wanted.items() if t in idf}))
+
+    def score(batches):
+        ids, plan = shared.value
+        names = np.array(ids)
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNK_BLOCK):
+                b = whole.slice(first, CHUNK_BLOCK)
+                chunk = np.asarray(b.column(0).to_numpy(zero_copy_only=False))
+                order = np.argsort(chunk, kind="stable")
+                chunk, tokens = chunk[order], [b.column(1)[int(i)].as_py() for i in order]
+                found: dict[str, tuple[list[int], list[float]]] = {}
+                for c, t in enumerate(tokens):
+                    tf: dict[str, int] = {}
+                    for x in t:
+                        if x in plan:
+                            tf[x] = tf.get(x, 0) + 1
+                    for x, f in tf.items():
+                        p = found.setdefault(x, ([], []))
+                        p[0].append(c)
+                        p[1].append(plan[x][1] * _weight(f, len(t), avgdl, 1, 1)[0])
+                for low in range(0, len(ids), QUERY_BLOCK):
+                    scores = np.zeros((min(QUERY_BLOCK, len(ids) - low), len(chunk)))
+                    for x, (cols, w) in found.items():
+                        q = plan[x][0]
+                        q = q[(q >= low) & (q < low + QUERY_BLOCK)] - low
+                        if len(q):
+                            scores[np.ix_(q, cols)] += np.array(w)
+                    scores = np.round(scores, 6)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(scores, best, 1)
+                    hit = value > 0
+                    r = np.nonzero(hit)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[low + r].tolist()), pa.array(chunk[best[hit]]), pa.array(value[hit])], ["query_id", "chunk_id", "score"])
+
+    return top(sized.select("chunk_id", "tokens").mapInArrow(score, kind), "query_id", "score", "chunk_id", k)
+
+
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
     m = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
