@@ -31,15 +31,16 @@ WIDTH = 4096
 SPANS = "array<struct<kind:int,start:int,end:int,votes:array<tinyint>,feats:array<int>>>"
 
 # Words and forms the labellers go by.
-AT = r"(?:@|\s?[(\[]at[)\]]\s?|\s(?:AT|at)\s)"
+SIGN = "@＠﹫"  # as typed, full width, small form
+AT = rf"(?:[{SIGN}]|\s?[(\[]at[)\]]\s?|\s(?:AT|at)\s)"
 DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?|\s(?:DOT|dot)\s)"
 EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.ASCII)
 EMAIL_FORM = re.compile(rf"[A-Za-z0-9][\w.+%-]*{AT}(?:[A-Za-z][A-Za-z0-9-]*{DOT})+[A-Za-z]{{2,}}", re.ASCII)
 TLDS = frozenset("com org net edu gov int info biz name io dev app de fr uk cn eu us example test invalid local".split())
 FILES = frozenset("png jpg jpeg gif svg webp md txt json yaml yml csv pdf html js css py xml zip".split())
-DIGITS = re.compile(r"(?<![\w.@/#-])(?:\+\d|\(\d|\d)[\d ()/.-]{5,}\d(?!\w)(?:\s?(?:ext\.?|x|Durchwahl|poste)\s?\d{1,5}\b)?")
+DIGITS = re.compile(rf"(?<![\w.{SIGN}/#-])(?:\+\d|\(\d|\d)[\d ()/.-]{{5,}}\d(?!\w)(?:\s?(?:ext\.?|x|Durchwahl|poste)\s?\d{{1,5}}\b)?")
 PHONE_FORM = re.compile(r"(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}|\(\d{2,5}\)[ .-]?\d{3}[ .-]?\d{4}|0\d{1,4}(?:[ /-]\d{2,5}){2,5}|0\d{2,5}/\d{3,8}(?:-\d{1,4})?)(?:\s?(?:ext\.?|x|Durchwahl|poste)\s?\d{1,5})?")
-ID = re.compile(r"(?<![\w@/#.-])(?:\d{3}-\d{2}-\d{4}|\d{4} \d{4} \d{3,4}|\d{8}-\d{4}|\d{17}[\dXx]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{7,8}|\d{9,12})(?![\w-])")
+ID = re.compile(rf"(?<![\w{SIGN}/#.-])(?:\d{{3}}-\d{{2}}-\d{{4}}|\d{{4}} \d{{4}} \d{{3,4}}|\d{{8}}-\d{{4}}|\d{{17}}[\dXx]|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D]|[A-Z]{{1,2}}\d{{7,8}}|\d{{9,12}})(?![\w-])")
 ID_FORM = re.compile(r"\d{3}-\d{2}-\d{4}|\d{4} \d{4} \d{3}|\d{8}-\d{4}|\d{17}[\dXx]|[A-Z]{2}(?: \d{2}){3} [A-D]|[A-Z]{2}\d{6}[A-D]|[A-Z]{1,2}\d{7,8}")
 CAP = r"[A-ZÄÖÜÉ][a-zäöüßéèêàç]+"
 ROAD = r"(?:St|Ave|Rd|Ln|Blvd|Dr|Street|Avenue|Road|Lane|Boulevard|Drive|Way|Court|Close|Terrace|Square|Row|Gardens)"
@@ -51,7 +52,7 @@ ADDRESS = re.compile(
 )
 ADDRESS_LEAD = re.compile(r"[一-鿿]*(?:到|往|址|在|于|给|是|为)(?=[一-鿿]{2,3}(?:省|市))")
 NAME = r"(?:[A-Z][a-z]{2,}|[A-Z]{3,})"
-PERSON = re.compile(rf"(?<![\w@./-])(?=({NAME}(?:-{NAME})?, {NAME}|{NAME} (?:[A-Z]\. )?{NAME}(?:-{NAME})?|[A-Z]\. {NAME}(?:-{NAME})?)(?![\w@]))")
+PERSON = re.compile(rf"(?<![\w{SIGN}./-])(?=({NAME}(?:-{NAME})?, {NAME}|{NAME} (?:[A-Z]\. )?{NAME}(?:-{NAME})?|[A-Z]\. {NAME}(?:-{NAME})?)(?![\w{SIGN}]))")
 LEADS = {
     "email": r"(?:mail|email|e-mail|reply-to|邮箱|邮件|via|[ÀàÉé]crire à|an|write to|contact|courriel|cc|from|to)\s?[:：|]?\s*[(<\[]?$|[(<]$",
     "phone": r"(?:tel|phone|t[ée]l[ée]phone|mobile?|whatsapp|call|fax|telefon|ring|电话|手机|portable|cell)\.?\s?[:：|]?\s*$",
@@ -145,7 +146,7 @@ def propose(text: str | None, g: Gazetteer) -> list[tuple[int, int, int, list[in
     def add(kind: str, a: int, b: int, votes: list[int]) -> None:
         found.append((KINDS.index(kind), a, b, votes, _features(kind, text, a, b, votes)))
 
-    if "@" in text or "at" in text or "AT" in text:
+    if any(c in text for c in SIGN) or "at" in text or "AT" in text:
         for m in EMAIL.finditer(text):
             a, b, s = m.start(), m.end(), m.group()
             last = re.split(r"[^A-Za-z0-9]+", s)[-1].lower()

@@ -235,6 +235,21 @@ def test_mentions_and_redaction(spark):
     assert pii.mentions(df.limit(0), "doc_id", "text", names).count() == 0
 
 
+@pytest.mark.parametrize("sign", ["@", "＠", "﹫", " (at) ", "[at]", " AT "])
+def test_every_form_of_the_sign_is_proposed(sign):
+    text = f"mail: mara.harrlund{sign}desk.velko.test Two notes"
+    spans = [s for s in pii.propose(text, pii.Gazetteer(["Mara"], ["Harrlund"])) if pii.KINDS[s[0]] == "email"]
+    assert [text[a:b] for _, a, b, _, _ in spans] == [f"mara.harrlund{sign}desk.velko.test"] and spans[0][3][0] == 1
+
+
+def test_full_width_addresses_are_found_and_redacted(spark):
+    docs, _ = _corpus()
+    docs = [(i, t.replace("@desk", "＠desk") if i % 8 == 0 else t, k) for i, t, k in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, key string")
+    found = pii.mentions(df, "doc_id", "text", spark.createDataFrame(NAMES, "name_part string, part_kind string"))
+    assert any("＠desk" in t for _, t, _ in docs) and not any("＠desk" in r["text"] for r in pii.redact(df, "doc_id", "text", found).collect())
+
+
 def test_em_finds_the_unreliable_labeller():
     rng = random.Random(9)
     counts = {}
