@@ -9,6 +9,9 @@
   ``probes`` leaves; rows are stored in one leaf per tree.
 * The rows of one leaf are ranked exactly by blocked matrix products; a leaf larger than ``block`` is cut into
   salted blocks of stored rows which separate tasks scan, so no task holds an unbounded leaf.
+* ``exact`` leaves the forest out: every asking row meets every stored row of its collection, block by block. The
+  forest's budget is fixed, so for neighbours at any cosine its recall falls as the collection grows; a query that
+  asks few rows can afford the whole scan. Its work is asking rows times stored rows.
 """
 
 from __future__ import annotations
@@ -167,25 +170,11 @@ def fit(reps: DataFrame, dim: int, trees: int, leaf_rows: int, sample_rows: int,
     return forests
 
 
-def neighbours(
-    vectors: DataFrame, id_col: str, vec_col: str, group: str, *, dim: int = 64, k: int = 5, min_cos: float = -2.0,
-    queries=None, trees: int = 6, probes: int = 12, leaf_rows: int = 1500, sample_rows: int = 30_000, block: int = 6000, seed: int = 17,
-) -> DataFrame:
-    """(grp, id, neighbour, cosine): at most k most similar vectors of each query vector within its collection.
-
-    Vectors that are null, of another length, not finite or all zero neither ask nor answer. Ties go to the
-    smaller id; copies of a vector come first with cosine 1. ``queries`` (a condition on ``id``) restricts the asking
-    rows, ``min_cos`` the answers. A collection of one vector gives no row; an empty table gives none.
-    """
-    spark: SparkSession = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    reps = cut(classes(vectors, id_col, vec_col, group, dim, k))
-    forests = fit(reps.select("grp", "rep", "vec"), dim, trees, leaf_rows, sample_rows, seed)
+def leaves(asked: DataFrame, forests: dict, dim: int, probes: int, block: int) -> DataFrame:
+    """(grp, tree, leaf, part, role, rep, vec): every row stored in one leaf per tree, asking rows in the leaves they probe."""
+    spark: SparkSession = asked.sparkSession
     shared = spark.sparkContext.broadcast(forests)
-    grp_type = reps.schema["grp"].dataType.simpleString()
-
-    # A class asks when it may hold a query; ids beyond the members kept cannot be told here, so large classes always ask.
-    asking = (F.exists("members", lambda i: queries(i)) | (F.size("members") > k)) if queries is not None else F.lit(True)
+    grp_type, id_type = (asked.schema[c].dataType.simpleString() for c in ("grp", "rep"))
 
     def route(batches):
         for b in batches:
@@ -213,12 +202,44 @@ def neighbours(
                 ["grp", "tree", "leaf", "role", "rep", "vec"],
             )
 
-    routed = reps.select("grp", "rep", "vec", asking.alias("ask")).mapInArrow(route, f"grp {grp_type}, tree int, leaf int, role int, rep {id_type}, vec array<float>")
+    routed = asked.mapInArrow(route, f"grp {grp_type}, tree int, leaf int, role int, rep {id_type}, vec array<float>")
     # Leaves beyond ``block`` stored rows are cut into salted blocks; askers visit every block of their leaf.
     sizes = reps_leaf_sizes(routed, block)
     salted = routed.join(F.broadcast(sizes), ["grp", "tree", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     stored_part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    salted = salted.withColumn("part", F.explode(F.when(F.col("role") == 0, F.array(stored_part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return salted.withColumn("part", F.explode(F.when(F.col("role") == 0, F.array(stored_part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+
+
+def scanned(asked: DataFrame, block: int) -> DataFrame:
+    """The same columns for the whole scan: stored and asking rows are both cut into blocks, and every two blocks meet."""
+    n = asked.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("stored"), F.greatest(F.ceil(F.count_if("ask") / block), F.lit(1)).cast("int").alias("asking"))
+    rows = asked.join(F.broadcast(n), "grp")
+    mine = lambda parts: F.array(F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int"))
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    store = rows.select("grp", F.explode(every("asking")).alias("leaf"), mine("stored")[0].alias("part"), F.lit(0).alias("role"), "rep", "vec")
+    ask = rows.where("ask").withColumn("leaf", mine("asking")[0]).select("grp", "leaf", F.explode(every("stored")).alias("part"), F.lit(1).alias("role"), "rep", "vec")
+    return store.unionByName(ask).withColumn("tree", F.lit(0))
+
+
+def neighbours(
+    vectors: DataFrame, id_col: str, vec_col: str, group: str, *, dim: int = 64, k: int = 5, min_cos: float = -2.0,
+    queries=None, trees: int = 6, probes: int = 12, leaf_rows: int = 1500, sample_rows: int = 30_000, block: int = 6000, seed: int = 17, exact: bool = False,
+) -> DataFrame:
+    """(grp, id, neighbour, cosine): at most k most similar vectors of each query vector within its collection.
+
+    Vectors that are null, of another length, not finite or all zero neither ask nor answer. Ties go to the
+    smaller id; copies of a vector come first with cosine 1. ``queries`` (a condition on ``id``) restricts the asking
+    rows, ``min_cos`` the answers; ``exact`` misses none, whatever the collection's size. A collection of one vector gives no row; an empty table gives none.
+    """
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    reps = cut(classes(vectors, id_col, vec_col, group, dim, k))
+    grp_type = reps.schema["grp"].dataType.simpleString()
+
+    # A class asks when it may hold a query; ids beyond the members kept cannot be told here, so large classes always ask.
+    asking = (F.exists("members", lambda i: queries(i)) | (F.size("members") > k)) if queries is not None else F.lit(True)
+
+    asked = reps.select("grp", "rep", "vec", asking.alias("ask"))
+    salted = scanned(asked, block) if exact else leaves(asked, fit(reps.select("grp", "rep", "vec"), dim, trees, leaf_rows, sample_rows, seed), dim, probes, block)
 
     def rank(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()

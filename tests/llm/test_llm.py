@@ -89,6 +89,22 @@ def test_forest_recall_and_blocks(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_exact_neighbours_at_any_cosine(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    df = spark.createDataFrame([(100 * i if i < 40 else 100 * i + 1, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, version_id int, embedding array<float>")
+    ids = [r[0] for r in df.select("vec_id").collect()]
+    want = {p for p in _brute(ids, x.astype(np.float64), 5) if p[0] % 100 == 0}
+    got = knn.neighbours(df, "vec_id", "embedding", "version_id", queries=lambda i: i % 100 == 0, block=16, exact=True)
+    assert {(r["id"], r["neighbour"]) for r in got.collect()} == want
+    assert knn.neighbours(df.limit(0), "vec_id", "embedding", "version_id", exact=True).count() == 0
+    monkeypatch.setattr(plans, "table", lambda *_: df)
+    calls = []
+    monkeypatch.setattr(knn, "neighbours", lambda *a, **k: calls.append(k) or got)
+    plans.p4_neighbours(spark, "")
+    assert calls[0]["exact"]
+
+
 def test_copies_dirt_and_queries(spark):
     v = [1.0, 0.0, 0.0]
     data = [(i, 1, v) for i in range(9)] + [(20, 1, [1.0, 1e-3, 0.0]), (21, 2, v), (22, 1, None), (23, 1, []), (24, 1, [0.0] * 3), (25, 1, [float("nan"), 1.0, 0.0]), (26, 1, [1.0, float("inf"), 0.0]), (27, 1, [1e-30, 0.0, 0.0]), (0, 1, v), (None, 1, v)]
