@@ -165,6 +165,22 @@ def test_fuzzy_targets_and_apply(spark):
     assert state == {"a": "see [[New]] and [[New#x]]", "b": "z"} and [r["reason"] for r in report] == [None, "changed since", "proposal aborted"]
 
 
+def test_fuzzy_targets_against_brute_force(spark):
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    stems = ["abcdefghij", "abcde", "aaaaaa", "plan", "abc", "知识图谱"] + ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 14))) for _ in range(60)]
+    wrong = ["abcxdefyghzij", "abxcde", "aaaaaa", "plan", "abc", "知识图谱"] + [x[:i] + rng.choice("abcdez") + x[i + rng.randrange(2) :] for x in stems[6:] for i in [rng.randrange(len(x))]]
+    got = {r["target"]: (r["path"], r["ratio"]) for r in fixes.fuzzy_targets(spark.createDataFrame([(f"x/{w}.md",) for w in sorted(set(wrong))], "target string"), spark.createDataFrame([(f"y/{x}.md",) for x in stems], "path string")).collect()}
+    want = {}
+    for w in wrong:
+        ratio, path = min((-round(difflib.SequenceMatcher(None, w, x, autojunk=False).ratio(), 6), f"y/{x}.md") for x in stems)
+        if -ratio >= 0.85 and len(w) >= 4:
+            want[f"x/{w}.md"] = (path, -ratio)
+    assert got == want and {"x/abcxdefyghzij.md", "x/abxcde.md", "x/aaaaaa.md", "x/plan.md"} <= set(got)
+
+
 def test_page_expressions(spark):
     df = spark.createDataFrame([("知识 图谱 abc",), ("plain english words",), ("123 !?",), ("",)], "t string")
     assert [r[0] for r in df.select(pages.language(F.col("t"))).collect()] == ["cjk", "en", "other", "other"]
