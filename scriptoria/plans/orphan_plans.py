@@ -30,11 +30,10 @@ def _task_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "doc_records").where("active")
-    tasks = table(spark, d, "tasks")
-    by_path = op.orphans(_path_refs(spark, d), op.instants(docs, F.col("path_key"), F.col("first_seen")))
-    by_task = op.orphans(_task_refs(spark, d), op.instants(tasks, F.col("task_id"), F.col("created_at")))
-    return by_path.unionByName(by_task).select("ref_table", "rec_id", "ref_key", "at").distinct()
+    docs = table(spark, d, "doc_records").where("active").select(F.col("path_key").alias("key"), F.col("first_seen").alias("since"))
+    tasks = table(spark, d, "tasks").select(F.col("task_id").alias("key"), F.col("created_at").alias("since"))
+    found = op.orphans(_path_refs(spark, d), docs).unionByName(op.orphans(_task_refs(spark, d), tasks))
+    return found.select("ref_table", "rec_id", "ref_key", "at").distinct()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,10 +51,11 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return total.join(found, same, "left").select(total.ref_table, total.ref_month, "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
 
 
-def p1_claim_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Claims whose integer vec_id is in no run of vector keys."""
-    claims = table(spark, d, "grounding_claims").select("claim_id", "vec_id").distinct()
-    return op.integer_orphans(claims, table(spark, d, "vec_index").select("vec_id"), "vec_id")
+def p1_foreign_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors whose integer chunk_id is in no run of the chunks of active documents."""
+    live = table(spark, d, "doc_records").where("active").select("doc_id")
+    chunks = table(spark, d, "embed_queue").join(live, "doc_id", "left_semi").select("chunk_id")
+    return op.integer_orphans(table(spark, d, "vec_index").select("vec_id", "chunk_id").distinct(), chunks, "chunk_id")
 
 
 _FOLD = "replace(replace(replace(replace(replace(lower(nfc_normalize(replace({0}, chr(92), '/'))), 'ß', 'ss'), 'ς', 'σ'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff')"
@@ -79,12 +79,12 @@ lost AS (
   WHERE p.k IS NULL
 )"""
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_claim_vectors": p1_claim_vectors}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_foreign_chunks": p1_foreign_chunks}
 SQL = {
     "p1_found": f"WITH {_REFS} SELECT DISTINCT ref_table, rec_id, ref_key FROM lost",
     "p1_counts": f"""WITH {_REFS}, a AS (SELECT ref_table, strftime(ref_at, '%Y-%m') AS m, count(*) AS n FROM refs GROUP BY 1, 2),
 b AS (SELECT ref_table, strftime(ref_at, '%Y-%m') AS m, count(*) AS n FROM lost GROUP BY 1, 2)
 SELECT a.ref_table, a.m AS ref_month, a.n AS n_refs, coalesce(b.n, 0) AS n_orphans
 FROM a LEFT JOIN b ON a.ref_table = b.ref_table AND a.m IS NOT DISTINCT FROM b.m""",
-    "p1_claim_vectors": "SELECT DISTINCT claim_id, vec_id FROM grounding_claims WHERE vec_id IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM vec_index)",
+    "p1_foreign_chunks": "SELECT DISTINCT vec_id, chunk_id FROM vec_index WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT c.chunk_id FROM embed_queue c WHERE doc_id IN (SELECT doc_id FROM doc_records WHERE active))",
 }

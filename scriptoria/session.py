@@ -1,9 +1,10 @@
-"""Session helpers: checkpoint folder, table access."""
+"""Session helpers: the shared folder, cutting lineage, table access."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,16 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; fall back to a local one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs within one JVM (tests, the bench) gets a folder of its own; on a cluster
+    that would be another folder on every machine, so it is refused.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "scriptoria-checkpoints"))
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "scriptoria-checkpoints"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise ``df`` in the shared folder and cut its lineage; survives executor loss."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table of columns: for wide rows, and where readers need a part of the columns."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

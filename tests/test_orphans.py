@@ -7,8 +7,24 @@ from scriptoria.operators import orphans as op
 
 
 def test_runs_merge_when_they_touch(spark, rows):
-    df = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 2, 2), (0, 0, 3, 5), (0, 0, 7, 7), (1, 0, 8, 8), (0, 0, None, 4)], "k1 long, k2 long, lo long, hi long")
-    assert rows(op.compress_runs(df)) == [(0, 0, 1, 5), (0, 0, 7, 7), (1, 0, 8, 8)]
+    df = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 2, 2), (0, 3, 5), (0, 7, 7), (1, 8, 8), (0, None, 4)], "bucket int, lo long, hi long")
+    assert rows(op.compress_runs(df)) == [(0, 1, 5), (0, 7, 7), (1, 8, 8)]
+
+
+def test_runs_are_few_and_reach_over_ranges(spark):
+    """A thousand parents with three missing keys between them leave four runs at most per range; one hot key spans ranges."""
+    parents = spark.range(1000).selectExpr("format_string('k%06d', id * 2) AS key", "timestamp'2024-01-01' AS since")
+    some = spark.range(1000).selectExpr("format_string('k%06d', id * 2) AS key", "timestamp'2024-02-01' AS at", "id")
+    missing = spark.createDataFrame([("k000101", D(2024, 2, 1), -1), ("k000901", D(2024, 2, 1), -2), ("zz", D(2024, 2, 1), -3)], "key string, at timestamp, id long")
+    hot = spark.range(3000).selectExpr("'k000500' AS key", "timestamp_seconds(1700000000 + id * 1000) AS at", "1000000 + id AS id")
+    refs = some.unionByName(missing).unionByName(hot)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    points = op.dictionary(refs.select("key", op.micros(F.col("at")).alias("t")), parents.select("key", F.unix_micros("since").alias("t")))
+    n = points.select("bucket").distinct().count()
+    assert n > 1 and op.runs_of(points).count() <= 4 + n
+    got = {r["id"] for r in op.orphans(refs, parents).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {-1, -2, -3} | {1000000 + i for i in range(3000) if 1700000000 + i * 1000 < 1704067200}
 
 
 def test_integer_orphans_against_brute_force(spark):
@@ -25,10 +41,10 @@ def test_late_missing_null_and_ties(spark):
     refs = spark.createDataFrame(
         [("a", D(2024, 1, 2), 1), ("a", D(2024, 1, 3), 2), ("a", D(2024, 1, 9), 3), ("b", D(2024, 1, 9), 4), ("c", D(2024, 1, 9), 5), ("a", None, 6), ("a", D(2024, 1, 2), 1)], "key string, at timestamp, lo int"
     )
-    got = op.orphans(refs, op.instants(parents, F.col("key"), F.col("since")))
+    got = op.orphans(refs, parents)
     assert sorted(r["lo"] for r in got.collect()) == [1, 1, 4, 5, 6]
-    assert op.orphans(refs.limit(0), op.instants(parents, F.col("key"), F.col("since"))).count() == 0
-    assert op.orphans(refs, op.instants(parents.limit(0), F.col("key"), F.col("since"))).count() == 7
+    assert op.orphans(refs.limit(0), parents).count() == 0
+    assert op.orphans(refs, parents.limit(0)).count() == 7
 
 
 def test_path_keys(spark):
