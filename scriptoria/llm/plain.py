@@ -6,7 +6,9 @@ invisible characters gone and blanks and hyphens made ordinary. Combining marks
 segment. Words that mix alphabets are moved into one of them through the look-alike table. Segments are recomposed
 with a second broadcast table (composites reachable from each base character) and strings rebuilt.
 
-Everything after the explode works on one shuffle, by value; a value's characters never need more than a sort.
+Printable ASCII is its own plain form and is not exploded. Of the other values only a 128-bit hash goes along with
+the characters, so a value of any length costs what its characters cost. Values are partitioned by that hash before
+the explode and everything after it, windows included, keeps that partitioning: no character is ever shuffled.
 """
 
 from __future__ import annotations
@@ -110,24 +112,28 @@ def plain_forms(values: DataFrame, value: str = "value") -> DataFrame:
     """
     spark = values.sparkSession
     chars, composed = tables(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = values.select(values[value].alias("value")).where("value IS NOT NULL").distinct()
-    one = distinct.where("value <> ''").select("value", F.posexplode(F.split("value", "")).alias("pos", "ch")).where("ch <> ''")
+    simple = distinct.where(ascii_only(F.col("value"))).select("value", F.col("value").alias("plain"), folded(F.col("value")).alias("skeleton"))
+    # A number of partitions said outright: by size alone these few bytes would be one task, for all the work they hold.
+    keyed = distinct.where(~ascii_only(F.col("value"))).select(F.xxhash64("value").alias("k1"), F.xxhash64(F.lit("low half"), "value").alias("k2"), "value").repartition(n, "k1", "k2")
+    one = keyed.select("k1", "k2", F.posexplode(F.split("value", "")).alias("pos", "ch")).where("ch <> ''")
     itself = F.array(
         F.struct(F.col("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("joins"), F.lit(False).alias("word"), F.lit("").alias("alphabet"), *[F.lit(None).cast("string").alias(x) for x in ("latin", "greek", "cyrillic")])
     ).cast(OUT)
-    outs = one.join(F.broadcast(chars), "ch", "left").select("value", "pos", F.posexplode(F.coalesce("outs", itself)).alias("sub", "o")).select("value", "pos", "sub", "o.*")
-    in_value = Window.partitionBy("value").orderBy("pos", "sub")
+    outs = one.join(F.broadcast(chars), "ch", "left").select("k1", "k2", "pos", F.posexplode(F.coalesce("outs", itself)).alias("sub", "o")).select("k1", "k2", "pos", "sub", "o.*")
+    in_value = Window.partitionBy("k1", "k2").orderBy("pos", "sub")
     running = in_value.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.when((F.col("ccc") == 0) & ~F.col("joins"), 1).otherwise(0)
     marked = outs.withColumn("seg", F.sum(starts).over(running)).withColumn("stop", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(running))
-    segs = marked.groupBy("value", "seg").agg(
+    segs = marked.groupBy("k1", "k2", "seg").agg(
         F.array_sort(F.collect_list(F.struct("stop", "ccc", "pos", "sub", "ch"))).alias("run"),
         F.min_by(F.struct("word", "alphabet", "latin", "greek", "cyrillic"), F.struct("stop", "ccc", "pos", "sub")).alias("b"),
     )
-    segs = segs.select("value", "seg", "b.*", F.col("run")[0]["ch"].alias("base"), F.slice("run", 2, F.greatest(F.size("run"), F.lit(1))).alias("marks"))
-    by_seg = Window.partitionBy("value").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    segs = segs.select("k1", "k2", "seg", "b.*", F.col("run")[0]["ch"].alias("base"), F.slice("run", 2, F.greatest(F.size("run"), F.lit(1))).alias("marks"))
+    by_seg = Window.partitionBy("k1", "k2").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
     segs = segs.withColumn("word_no", F.sum(F.when(F.col("word"), 0).otherwise(1)).over(by_seg))
-    in_word = Window.partitionBy("value", "word_no")
+    in_word = Window.partitionBy("k1", "k2", "word_no")
     letter = F.col("word") & (F.col("alphabet") != "")
 
     def count(c: Column) -> Column:
@@ -149,10 +155,11 @@ def plain_forms(values: DataFrame, value: str = "value") -> DataFrame:
 
     whole = F.aggregate("marks", F.struct(F.col("base2").alias("cur"), F.lit(0).alias("ccc"), F.lit("").alias("rest")), step, lambda a: F.concat(a["cur"], a["rest"]))
     bare = F.concat(F.coalesce("latin", "base"), F.array_join(F.transform("marks", lambda m: m["ch"]), ""))
-    built = segs.select("value", "seg", whole.alias("text"), bare.alias("bare")).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("seg", "text", "bare"))).alias("all"))
-    built = built.select("value", F.array_join(F.transform("all", lambda s: s["text"]), "").alias("plain"), F.array_join(F.transform("all", lambda s: s["bare"]), "").alias("bare"))
+    built = segs.select("k1", "k2", "seg", whole.alias("text"), bare.alias("bare")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("seg", "text", "bare"))).alias("all"))
+    built = built.select("k1", "k2", F.array_join(F.transform("all", lambda s: s["text"]), "").alias("plain"), F.array_join(F.transform("all", lambda s: s["bare"]), "").alias("bare"))
     # A value of which nothing is drawn has no segment left.
-    return distinct.join(built, "value", "left").select("value", F.coalesce("plain", F.lit("")).alias("plain"), folded(F.coalesce("bare", F.lit(""))).alias("skeleton"))
+    others = keyed.join(built, ["k1", "k2"], "left").select("value", F.coalesce("plain", F.lit("")).alias("plain"), folded(F.coalesce("bare", F.lit(""))).alias("skeleton"))
+    return simple.unionByName(others)
 
 
 def folded(c: Column) -> Column:
@@ -162,4 +169,4 @@ def folded(c: Column) -> Column:
 
 def ascii_only(c: Column) -> Column:
     """Printable ASCII is plain as it stands."""
-    return c.rlike(r"^[\x20-\x7e]*$")
+    return c.rlike(r"\A[\x20-\x7e]*\z")

@@ -37,7 +37,7 @@ def _forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     long = long.where("value IS NOT NULL").distinct()
     field = lambda f: long.where(F.col("field_name") == f).select("value")
     tree = table(spark, d, "category_tree").select(F.col("category").alias("value")).where("value IS NOT NULL").distinct()
-    titles = field("title").where(~plain.ascii_only(F.col("value")))
+    titles = field("title")
     every = cut(plain.plain_forms(titles.unionByName(field("category")).unionByName(tree)))
     titles = every.join(titles.distinct(), "value", "left_semi").select(F.lit("title").alias("field_name"), "value", "plain", (F.col("plain") != F.col("value")).alias("is_case"))
     tree = every.join(tree, "value", "left_semi").select("skeleton", F.col("value").alias("spelling"))
