@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.session import cut
+from scriptoria.session import cut, store
 
 #: One word: a Han or kana character, or a run of other letters and digits.
 SOLO = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -45,11 +45,12 @@ def classes(texts: DataFrame, key: str, text: str, words: int) -> tuple[DataFram
     """(rep, shingles) of texts that have any, and (rep, member) for all of their keys; repeated rows count once."""
     rows = texts.select(texts[key].alias("member"), texts[text].alias("text")).where("member IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("member", shingles(F.col("text"), words).alias("shingles"))
-    rows = cut(rows).where(F.size("shingles") > 0).withColumn("print", F.xxhash64("shingles"))
-    reps = rows.groupBy("print", "shingles").agg(F.min("member").alias("rep")).select("rep", "shingles", "print")
-    first = reps.select("rep", "print")
-    members = rows.select("member", "print").distinct().join(first, "print").select("rep", "member")
-    return cut(reps.drop("print")), members
+    # 128 bits name a set: that two different ones share them needs some 10**19 sets to become likely.
+    prints = [F.xxhash64("shingles").alias("p1"), F.xxhash64(F.lit("low half"), "shingles").alias("p2")]
+    rows = store(rows.where(F.size("shingles") > 0).select("member", "shingles", *prints))
+    reps = store(rows.groupBy("p1", "p2").agg(F.min("member").alias("rep"), F.any_value("shingles").alias("shingles")))
+    members = rows.select("member", "p1", "p2").distinct().join(reps.select("rep", "p1", "p2"), ["p1", "p2"]).select("rep", "member")
+    return reps.select("rep", "shingles"), members
 
 
 def sketches(reps: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
@@ -106,7 +107,7 @@ def similar_pairs(reps: DataFrame, *, threshold: float, sure: float, bands: int
     """
     n = bands * rows
     drawn = sketches(reps, bands, rows, seed)
-    banded = cut(drawn.select("rep", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(n // 64)], F.posexplode("bands").alias("band", "band_key")))
+    banded = store(drawn.select("rep", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(n // 64)], F.posexplode("bands").alias("band", "band_key")))
     left, right = banded.alias("l"), banded.alias("r")
     unequal = sum((F.bit_count(F.col(f"l.b{i}").bitwiseXOR(F.col(f"r.b{i}"))) for i in range(1, n // 64)), F.bit_count(F.col("l.b0").bitwiseXOR(F.col("r.b0"))))
     same_band = (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.rep") < F.col("r.rep"))
@@ -117,15 +118,15 @@ def similar_pairs(reps: DataFrame, *, threshold: float, sure: float, bands: int
     return pairs.where(F.col("jaccard") >= threshold)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node. Alternating large-star and small-star.
 
-    Every round halves the depth of the trees at least, so rounds grow with the logarithm of the longest path. A
+    It goes on until no edge moves. Every round halves the depth of the trees at least, so rounds grow with the logarithm of the longest path. A
     node's neighbours are never collected: minima come from map-side combined aggregates, links from joins.
     """
     e = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
