@@ -8,13 +8,18 @@
    hash; a documented bound), with the votes, the span's form and the words around it as features. It scores every
    span of every document; accepted spans are freed of overlaps, leftmost first, then longest.
 
-Documents are processed whole, one row per document from the scan to the result, without a shuffle.
+Documents are processed whole, one row per document from the scan to the result, without a shuffle. Redaction carries
+the text along with the spans, so the corpus is read once.
+
+The words the labellers go by are general ones for each kind; none stems from a corpus. Names are told by letters of
+any Latin alphabet; Chinese ones by family name, after a word that announces a person.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.sampling import hash_sample
-from scriptoria.session import cut
+from scriptoria.session import store
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 WIDTH = 4096
@@ -51,29 +56,36 @@ ADDRESS = re.compile(
     r"|(?<![一-鿿])[一-鿿]{2,12}?(?:省|市)(?:[一-鿿]{1,4}区)?[一-鿿]{1,6}(?:路|街|道|巷|大街)\d{1,5}(?:号|弄)(?:\d+(?:室|楼|单元|栋))*"
 )
 ADDRESS_LEAD = re.compile(r"[一-鿿]*(?:到|往|址|在|于|给|是|为)(?=[一-鿿]{2,3}(?:省|市))")
-NAME = r"(?:[A-Z][a-z]{2,}|[A-Z]{3,})"
-PERSON = re.compile(rf"(?<![\w{SIGN}./-])(?=({NAME}(?:-{NAME})?, {NAME}|{NAME} (?:[A-Z]\. )?{NAME}(?:-{NAME})?|[A-Z]\. {NAME}(?:-{NAME})?)(?![\w{SIGN}]))")
+# Upper and lower case letters of the Latin alphabets, by rule.
+UPPER, LOWER = ("".join(chr(n) for n in range(0x250) if unicodedata.category(chr(n)) == c) for c in ("Lu", "Ll"))
+NAME = rf"(?:[{UPPER}](?:['’][{UPPER}])?[{LOWER}]{{2,}}|[{UPPER}]{{3,}})"
+PERSON = re.compile(rf"(?<![\w{SIGN}./-])(?=({NAME}(?:-{NAME})?, {NAME}|{NAME} (?:[{UPPER}]\. )?{NAME}(?:-{NAME})?|[{UPPER}]\. {NAME}(?:-{NAME})?)(?![\w{SIGN}]))")
+# The commonest Chinese family names.
+HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+HAN_PERSON = re.compile(rf"(?:联系人|作者|签名|审阅人|负责人|记录人|姓名|收件人)\s?[:：|]\s*([{HAN_FAMILY}][一-鿿]{{1,2}})(?![一-鿿])")
 LEADS = {
     "email": r"(?:mail|email|e-mail|reply-to|邮箱|邮件|via|[ÀàÉé]crire à|an|write to|contact|courriel|cc|from|to)\s?[:：|]?\s*[(<\[]?$|[(<]$",
     "phone": r"(?:tel|phone|t[ée]l[ée]phone|mobile?|whatsapp|call|fax|telefon|ring|电话|手机|portable|cell)\.?\s?[:：|]?\s*$",
     "id_number": r"(?:ssn|security(?: number)?|nino|insurance(?: no\.?| number)?|ni number|passport(?: no\.?)?|reisepass|ausweis(?:nummer)?|identit[ée]|national id|personal number|personnummer|身份证(?:号)?|护照(?:号)?|id(?: no\.?| number)?|no\.|number)\s?[:：|]?\s*$",
-    "address": r"(?:address|adresse|anschrift|office|lives at|binder to|地址|寄到|住在|deliver to|ship(?:ped)? to|located at|domicile)\s?[:：|]?\s*$",
-    "person": r"(?:according to|back to|interview with|yesterday|reviewed by|signed,|r[ée]dig[ée] par|author:|contact:|ansprechpartner:|cc:|联系人：|dr\.|mr\.?|mrs\.?|ms\.?|frau|herr|prof\.|m\.|mme)\s*$",
+    "address": r"(?:address|adresse|anschrift|office|lives at|地址|寄到|住在|(?:deliver|ship|send|post)(?:s|ed|ped)?\b[^.\n]{0,20} to|located at|domicile)\s?[:：|]?\s*$",
+    "person": r"(?:according to|(?:interview|meeting|call|talk) with|yesterday|today|(?:reviewed|written|approved|prepared) by|signed,|sincerely,|regards,|r[ée]dig[ée] par|author:|contact:|ansprechpartner:|cc:|联系人：|dr\.|mr\.?|mrs\.?|ms\.?|frau|herr|prof\.|m\.|mme)\s*$",
 }
 LEADS = {k: re.compile(v, re.IGNORECASE) for k, v in LEADS.items()}
 TRAPS = {
-    "email": re.compile(r"(?:icon|pin|image|file|package)\s*$", re.IGNORECASE),
-    "phone": re.compile(r"(?:range|ticket \S*|build|mean|over|mark|took|digest|worker|version|page|rows|between|lines|commit|\d{4}-\d\d-\d\d|isbn|issn|port|kb-?)\s*$", re.IGNORECASE),
-    "id_number": re.compile(r"(?:range|ticket \S*|build|mean|over|mark|took|digest|worker|version|page|tel\.?|phone|call|mobil|whatsapp|电话：?|isbn|issn)\s?[:：|]?\s*$", re.IGNORECASE),
-    "address": re.compile(r"(?:page|figure|table|section|row|over|took)\s*$", re.IGNORECASE),
-    "person": re.compile(r"(?:the|of|icon|file|ask|ticket|worker|pin)\s*$", re.IGNORECASE),
+    "email": re.compile(r"(?:icon|image|file|package)\s*$", re.IGNORECASE),
+    "phone": re.compile(r"(?:range|ticket \S*|build|version|page|rows|between|lines|commit|\d{4}-\d\d-\d\d|isbn|issn|port|kb-?)\s*$", re.IGNORECASE),
+    "id_number": re.compile(r"(?:range|ticket \S*|build|version|page|tel\.?|phone|call|mobile?|whatsapp|fax|telefon|电话：?|手机：?|isbn|issn)\s?[:：|]?\s*$", re.IGNORECASE),
+    "address": re.compile(r"(?:page|figure|table|section|row)\s*$", re.IGNORECASE),
+    "person": re.compile(r"(?:the|of|an?|icon|file|ticket)\s*$", re.IGNORECASE),
 }
-FOLLOWS = re.compile(r"^,?\s(?:asked for|gave the|opened|renamed|next week|second session|the run|said|wrote|called|agreed|replied)")
-FOLLOWS_TRAP = re.compile(r"^\s(?:index|ledger|server|bot|build|release|branch|module|service|package|library|tool|script|beats)\b", re.IGNORECASE)
+# What a person does: a verb in the past (by its ending, or a common irregular one) or a plan.
+FOLLOWS = re.compile(r"^,?\s(?:(?:has |had |was |will )?[a-z]{2,}ed|gave|said|says|wrote|writes|told|sent|took|made|came|went|left|met|spoke|thinks|will|and I)\b")
+FOLLOWS_TRAP = re.compile(r"^\s(?:index|server|bot|build|release|branch|module|service|package|library|tool|script|version|v?\d)\b", re.IGNORECASE)
 COMMON = frozenset(
-    "the a an when while why if it its our we they nobody two each keep compare do don between with without after before because of in on at for from to and or not but this that these those there here yesterday today "
-    "according interview reviewed signed author contact ship range ticket pin mean shelf mark digest worker call mobil reach office adresse address der die das ein eine für wenn über und oder nicht von le la les un une des "
-    "du de ça lorsqu après il elle dans pour avec sans dr mr mrs ms prof frau herr ledger index store query street road lane avenue unit".split()
+    "the a an when while why if it its our we they nobody somebody everybody two three each keep compare do does don between with without after before because of in on at for from to and or not but this that these those there here "
+    "yesterday today tomorrow according interview meeting reviewed signed author contact call reach office address adresse no yes please thanks dear hello "
+    "der die das ein eine für wenn über und oder nicht von le la les un une des du de ça lorsqu après il elle dans pour avec sans dr mr mrs ms prof frau herr street road lane avenue unit "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 )
 
 
@@ -128,7 +140,6 @@ def _person_votes(text: str, a: int, b: int, g: Gazetteer) -> list[int]:
         _sign(all(g.like(w, "given") for w in given), True) if given else 0,
         _sign(bool(LEADS["person"].search(text[max(0, a - 24) : a])), bool(TRAPS["person"].search(text[max(0, a - 12) : a]))),
         _sign(bool(FOLLOWS.search(text[b : b + 16])), bool(FOLLOWS_TRAP.search(text[b : b + 12]))),
-        -1 if any(w.lower() in COMMON for w in full) else 0,
     ]
 
 
@@ -171,25 +182,31 @@ def propose(text: str | None, g: Gazetteer) -> list[tuple[int, int, int, list[in
         add("address", a, b, [_sign(town), lead, trap, _sign(post), _sign(not s[-1].isspace(), True)])
     for m in PERSON.finditer(text):
         a, b = m.start(1), m.end(1)
-        add("person", a, b, _person_votes(text, a, b, g))
+        # A function word with a capital opens a sentence; it is no part of a name.
+        if COMMON.isdisjoint(re.findall(r"\w{2,}", m.group(1).lower())):
+            add("person", a, b, _person_votes(text, a, b, g))
+    for m in HAN_PERSON.finditer(text):
+        # Announced, and of a known family name; what the other labellers go by does not apply.
+        add("person", m.start(1), m.end(1), [1, 0, 1, 0, 1, 0])
     return found
 
 
-def candidates(docs: DataFrame, key: str, text: str, g: Gazetteer) -> DataFrame:
-    """(key, spans): one row per document with at least one candidate span."""
+def candidates(docs: DataFrame, key: str, text: str, g: Gazetteer, keep_text: bool = False) -> DataFrame:
+    """(key, spans): one row per document with at least one candidate span; with ``keep_text`` all documents and their text."""
     kind = docs.schema[key].dataType.simpleString()
+    struct = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.list_(pa.int8())), ("feats", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        struct = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.list_(pa.int8())), ("feats", pa.list_(pa.int32()))])
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 made = [propose(t, g) for t in part.column(1).to_pylist()]
-                keep = pa.array([i for i, x in enumerate(made) if x], pa.int64())
-                spans = pa.array([[dict(zip(("kind", "start", "end", "votes", "feats"), s)) for s in x] for x in made if x], pa.list_(struct))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), spans], ["key", "spans"])
+                keep = pa.array([i for i, x in enumerate(made) if x or keep_text], pa.int64())
+                spans = pa.array([[dict(zip(("kind", "start", "end", "votes", "feats"), s)) for s in x] for x in made if x or keep_text], pa.list_(struct))
+                whole = [part.column(1).cast(pa.string())] if keep_text else []
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), spans, *whole], ["key", "spans", "text"][: 2 + keep_text])
 
-    return docs.select(docs[key], docs[text]).mapInArrow(run, f"key {kind}, spans {SPANS}")
+    return docs.select(docs[key], docs[text]).mapInArrow(run, f"key {kind}, spans {SPANS}" + ", text string" * keep_text)
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
@@ -248,45 +265,57 @@ def fit(spans: DataFrame, train_rows: int) -> np.ndarray:
     return weights
 
 
+def _fitted(docs: DataFrame, key: str, text: str, names: DataFrame, train_rows: int, keep_text: bool) -> tuple[DataFrame, np.ndarray]:
+    known = names.select("name_part", "part_kind").where("name_part IS NOT NULL").distinct().collect()
+    g = Gazetteer([r[0] for r in known if r[1] == "given"], [r[0] for r in known if r[1] == "family"])
+    spans = store(candidates(docs, key, text, g, keep_text))
+    return spans, fit(spans, train_rows)
+
+
+def accepted(spans: list[dict], weights: np.ndarray) -> list[dict]:
+    """The spans the classifier takes, freed of overlaps."""
+    good = [s for s in spans if weights[s["kind"]][s["feats"]].sum() + weights[s["kind"]][-1] > 0]
+    good.sort(key=lambda s: (s["start"], -s["end"], s["kind"]))
+    taken, end = [], -1
+    for s in good:
+        if s["start"] >= end:
+            taken.append({"kind": KINDS[s["kind"]], "start_pos": s["start"], "end_pos": s["end"]})
+            end = s["end"]
+    return taken
+
+
 def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, train_rows: int = 12_000) -> DataFrame:
     """(key, mentions array<struct<kind, start_pos, end_pos>>) of documents with at least one mention.
 
     ``names`` (name_part, part_kind) is the gazetteer, a table of fixed size. Null and empty texts have no mention;
     a document of any length is read whole. Without names the other labellers decide.
     """
-    known = names.select("name_part", "part_kind").where("name_part IS NOT NULL").distinct().collect()
-    g = Gazetteer([r[0] for r in known if r[1] == "given"], [r[0] for r in known if r[1] == "family"])
-    spans = cut(candidates(docs, key, text, g))
-    weights = fit(spans, train_rows)
-    kind = docs.schema[key].dataType.simpleString()
+    spans, weights = _fitted(docs, key, text, names, train_rows, False)
+    struct = pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        struct = pa.struct([("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
         for b in batches:
-            out, keep = [], []
-            for i, row in enumerate(b.column(1).to_pylist()):
-                good = [s for s in row if weights[s["kind"]][s["feats"]].sum() + weights[s["kind"]][-1] > 0]
-                good.sort(key=lambda s: (s["start"], -s["end"], s["kind"]))
-                taken, end = [], -1
-                for s in good:
-                    if s["start"] >= end:
-                        taken.append({"kind": KINDS[s["kind"]], "start_pos": s["start"], "end_pos": s["end"]})
-                        end = s["end"]
-                if taken:
-                    out.append(taken), keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.list_(struct))], ["key", "mentions"])
+            taken = [accepted(row, weights) for row in b.column(1).to_pylist()]
+            keep = pa.array([i for i, x in enumerate(taken) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([x for x in taken if x], pa.list_(struct))], ["key", "mentions"])
 
+    kind = docs.schema[key].dataType.simpleString()
     return spans.mapInArrow(run, f"key {kind}, mentions array<struct<kind:string,start_pos:int,end_pos:int>>")
 
 
-def redact(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """(key, text): typed placeholders in the mentions' stead, all else unchanged; null text stays null."""
-    joined = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(found, "key", "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
+def redacted(docs: DataFrame, key: str, text: str, names: DataFrame, train_rows: int = 12_000) -> DataFrame:
+    """(key, text): typed placeholders in the mentions' stead, all else unchanged; null text stays null. One row per row of ``docs``."""
+    spans, weights = _fitted(docs, key, text, names, train_rows, True)
 
-    def step(a, m):
-        gap = F.substring("text", a["at"] + 1, m["start_pos"] - a["at"])
-        return F.struct(m["end_pos"].alias("at"), F.concat(a["made"], gap, F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("made"))
-
-    whole = F.aggregate("mentions", begin, step, lambda a: F.concat(a["made"], F.substring("text", a["at"] + 1, F.length("text"))))
-    return joined.select("key", F.when(F.col("mentions").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, whole in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                made, at = [], 0
+                for m in accepted(row, weights):
+                    made += [whole[at : m["start_pos"]], f"[{m['kind'].upper()}]"]
+                    at = m["end_pos"]
+                out.append("".join([*made, whole[at:]]) if made else whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "text"])
+
+    return spans.select("key", "spans", "text").mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, text string")

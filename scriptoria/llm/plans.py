@@ -110,9 +110,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with typed placeholders."""
-    docs = table(spark, d, "documents")
-    found = pii.mentions(docs, "doc_id", "text", table(spark, d, "people_names"))
-    return pii.redact(docs, "doc_id", "text", found).withColumnRenamed("key", "doc_id")
+    return pii.redacted(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "people_names")).withColumnRenamed("key", "doc_id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
