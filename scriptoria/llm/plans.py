@@ -94,12 +94,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     """For each mix the documents chosen and how often."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Targets and what was reached."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
+
+
+def p7_even_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same where the mix is made smaller until every source that has documents fills its share."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), keep="shares").report()
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +118,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "people_names")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_even_shares": p7_even_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 _V = """v AS (SELECT DISTINCT vec_id, version_id, CAST(embedding AS DOUBLE[64]) AS e FROM vec_index
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""

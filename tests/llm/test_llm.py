@@ -211,18 +211,34 @@ def test_mix_reaches_targets(spark):
     targets = [("m", "a", 0.3, 4, 1.0), ("m", "b", 0.5, 4, 1.0), ("m", "c", 0.2, 4, 1.0), ("small", "c", 1.0, 2, 1.0), ("small", "gone", 0.0, 2, 1.0)]
     d = spark.createDataFrame([(*x, "m") for x in docs], "doc_id long, text string, source string, mix_name string")
     t = spark.createDataFrame(targets, "mix_name string, source_name string, target_share double, max_repeats int, size_ratio double")
-    sel, rep = mixing.mix(d, t)
-    got = {(r["mix_name"], r["source_name"]): r for r in rep.collect()}
+    mixed = mixing.mix(d, t)
+    sel = mixed.selection
+    got = {(r["mix_name"], r["source_name"]): r for r in mixed.report().collect()}
     for s in "ab":
         assert got["m", s]["expected_tokens"] == pytest.approx(got["m", s]["target_tokens"], rel=0.03)
     assert sel.agg(F.max("copies")).first()[0] <= 4 and got["small", "c"]["most_copies"] <= 2 and got["small", "gone"]["labelled_tokens"] == 0
     assert got["small", "c"]["expected_tokens"] < got["small", "c"]["target_tokens"]
     assert sel.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
-    names, model = mixing.fit_classifier(d.where("doc_id % 5 <> 0"), "doc_id", "text", "source", 500)
+    even = {(r["mix_name"], r["source_name"]): r for r in mixing.mix(d, t, keep="shares").report().collect()}
+    assert [even["m", s]["actual_share"] for s in "abc"] == pytest.approx([0.3, 0.5, 0.2], abs=0.02)
+    model = mixing.fit_classifier(d.where("doc_id % 5 <> 0"), "doc_id", "text", "source", 500)
     held = [(x[1], x[2]) for x in docs if x[0] % 5 == 0 and x[2] and x[1]]
-    assert np.mean([names[int(np.argmax(mixing.posterior(x, model)))] == s for x, s in held]) > 0.9
+    assert np.mean([model.names[int(np.argmax(mixing.posterior(x, model)))] == s for x, s in held]) > 0.9
     empty = mixing.mix(d.limit(0), t)
-    assert empty[0].count() == 0 and empty[1].count() == 5
+    assert empty.selection.count() == 0 and empty.report().count() == 5
+
+
+def test_texts_that_say_nothing_keep_the_prior(spark):
+    """Many sources of small probability: nothing is rounded away, every document without a source stays in the mix."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice("red green blue cat dog".split()) for _ in range(30)), f"s{rng.randrange(60):02}" if i % 4 else None) for i in range(1200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    model = mixing.fit_classifier(d, "doc_id", "text", "source", 900)
+    assert model.trust <= 0.1 and np.allclose(mixing.posterior("red cat", model).sum(), 1)
+    t = spark.createDataFrame([("m", f"s{i:02}", 1 / 60, 3, 0.5) for i in range(60)], "mix_name string, source_name string, target_share double, max_repeats int, size_ratio double")
+    mixed = mixing.mix(d, t, train_rows=900)
+    assert mixed.selection.where("source IS NULL").count() > 60
+    assert all(r["expected_tokens"] == pytest.approx(r["target_tokens"], rel=0.25) for r in mixed.report().collect())
 
 
 # --- 8: personal information -----------------------------------------------------------------------------------
