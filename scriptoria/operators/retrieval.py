@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from scriptoria.functions.text import word_tokens
 
 K1, B = 1.2, 0.75
-#: Bytes of query vectors that one pass may broadcast; more queries are searched in further blocks.
-QUERY_BLOCK_BYTES = 32 << 20
 OPERATORS = ("AND", "OR", "NOT", "NEAR")
 
 
@@ -31,10 +29,55 @@ def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Up to so many queries are scored against each batch of chunks in place; more of them go through a join on terms.
-IN_PLACE_QUERIES = 50_000
-QUERY_BLOCK = 2000
-CHUNK_BLOCK = 1000
+#: Queries that one pass over the chunks holds; more of them take further passes.
+QUERY_BLOCK = 10_000
+TILE = 1000
+
+
+class Best:
+    """The ``k`` best (key, score) of every query seen so far, ties to the smaller key; a key counts once, at its best."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, max(1 << 18, 3 * queries * k)
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, first: int, floor: float) -> None:
+        """``scores``: rows are queries from ``first`` on, columns are ``keys``; nothing below ``floor`` is taken."""
+        q, c = np.nonzero(scores >= np.maximum(self.least[first : first + len(scores)], floor)[:, None])
+        if len(q):
+            self.parts.append((q + first, keys[c], scores[q, c]))
+            self.size += len(q)
+            if self.size > self.most:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        q, key, score = (np.concatenate(x) for x in zip(*self.parts))
+        number = np.unique(key, return_inverse=True)[1]
+        order = np.lexsort((-score, number, q))
+        order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(number[order]) != 0)]]
+        order = order[np.lexsort((number[order], -score[order], q[order]))]
+        starts = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        full = order[rank == self.k - 1]
+        self.least[q[full]] = score[full]
+        order = order[rank < self.k]
+        self.parts, self.size = [(q[order], key[order], score[order])], len(order)
+        return self.parts[0]
+
+
+def _blocks(asked: DataFrame, column: str, block: int):
+    """The rows of ``asked`` as Arrow tables, by hash of the query, of about ``block`` queries each: no more is held at once."""
+    n = max(1, -(-asked.select("query_id").distinct().count() // block))
+    for i in range(n):
+        yield asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", column).toArrow()
+
+
+def ranked_by(rows: DataFrame, by: str, order: list) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
 def _weight(tf, dl, avgdl, df, n):
@@ -42,42 +85,32 @@ def _weight(tf, dl, avgdl, df, n):
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank). ``queries``: query_id, q; ``chunks``: chunk_id, text.
+    """(query_id, chunk_id, score, rank). ``queries``: query_id, q; ``chunks``: chunk_id, text, and perhaps ``live``.
 
-    Statistics cover every chunk. A query set of checked size is broadcast and scored where the chunks are: a task
-    sends k rows per query. A larger one is joined on terms.
+    Statistics cover every chunk; where ``live`` is given, only such chunks are answers. A block of queries is broadcast and
+    scored where the chunks are, over tiles of chunks; a task sends k rows per query.
     """
-    asked = queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term"))
-    sized = chunks.select("chunk_id", word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL").withColumn("dl", F.size("tokens"))
-    if queries.count() <= IN_PLACE_QUERIES:
-        return _bm25_in_place(asked, sized, k)
-    return _bm25_join(asked, sized, k)
-
-
-def _bm25_join(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
-    """Postings are restricted to the terms asked for before they are grouped; hot terms are left to the skew join."""
-    terms = asked.select("term").distinct()
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    part, odds = _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n"))
-    weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", (F.log(odds + 1) * part).alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scored, "query_id", "score", "chunk_id", k)
-
-
-def _bm25_in_place(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
-    spark = asked.sparkSession
-    rows = asked.toArrow().to_pydict()
-    ids = sorted(set(rows["query_id"]))
-    at = {q: i for i, q in enumerate(ids)}
-    wanted: dict[str, list[int]] = {}
-    for q, term in zip(rows["query_id"], rows["term"]):
-        wanted.setdefault(term, []).append(at[q])
-    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {sized.schema['chunk_id'].dataType.simpleString()}, score double"
-    if not wanted:
-        return top(spark.createDataFrame([], kind), "query_id", "score", "chunk_id", k)
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term")).distinct()
+    live = F.coalesce(F.col("live"), F.lit(False)) if "live" in chunks.columns else F.lit(True)
+    sized = chunks.select("chunk_id", live.alias("live"), word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL").withColumn("dl", F.size("tokens"))
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
     n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
+    out = spark.createDataFrame([], kind)
+    for part in _blocks(asked, "term", QUERY_BLOCK):
+        rows = part.to_pydict()
+        ids = sorted(set(rows["query_id"]))
+        at = {q: i for i, q in enumerate(ids)}
+        wanted: dict[str, list[int]] = {}
+        for q, term in zip(rows["query_id"], rows["term"]):
+            wanted.setdefault(term, []).append(at[q])
+        if wanted:
+            out = out.unionByName(_bm25_block(sized, ids, wanted, n, avgdl, k, kind))
+    return top(out, "query_id", "score", "chunk_id", k)
+
+
+def _bm25_block(sized: DataFrame, ids: list, wanted: dict[str, list[int]], n: int, avgdl: float, k: int, kind: str) -> DataFrame:
+    spark = sized.sparkSession
     terms = spark.sparkContext.broadcast(frozenset(wanted))
 
     def count(batches):
@@ -90,19 +123,17 @@ def _bm25_in_place(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
 
     counted = sized.select("tokens").mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
     idf = {r["term"]: float(np.log(_weight(1, 1, 1, r["df"], n)[1] + 1)) for r in counted}
-    shared = spark.sparkContext.broadcast((ids, {t: (np.array(q), idf[t]) for t, q in wanted.items() if t in idf}))
+    shared = spark.sparkContext.broadcast((ids, {t: (np.array(sorted(q)), idf[t]) for t, q in wanted.items() if t in idf}))
 
     def score(batches):
         ids, plan = shared.value
-        names = np.array(ids)
+        best = Best(len(ids), k)
         for whole in batches:
-            for first in range(0, whole.num_rows, CHUNK_BLOCK):
-                b = whole.slice(first, CHUNK_BLOCK)
-                chunk = np.asarray(b.column(0).to_numpy(zero_copy_only=False))
-                order = np.argsort(chunk, kind="stable")
-                chunk, tokens = chunk[order], [b.column(1)[int(i)].as_py() for i in order]
+            for first in range(0, whole.num_rows, TILE):
+                b = whole.slice(first, TILE)
+                chunk = np.asarray(b.column(0).to_pylist())
                 found: dict[str, tuple[list[int], list[float]]] = {}
-                for c, t in enumerate(tokens):
+                for c, t in enumerate(b.column(1).to_pylist()):
                     tf: dict[str, int] = {}
                     for x in t:
                         if x in plan:
@@ -111,21 +142,19 @@ def _bm25_in_place(asked: DataFrame, sized: DataFrame, k: int) -> DataFrame:
                         p = found.setdefault(x, ([], []))
                         p[0].append(c)
                         p[1].append(plan[x][1] * _weight(f, len(t), avgdl, 1, 1)[0])
-                for low in range(0, len(ids), QUERY_BLOCK):
-                    scores = np.zeros((min(QUERY_BLOCK, len(ids) - low), len(chunk)))
+                for low in range(0, len(ids), TILE):
+                    scores = np.zeros((min(TILE, len(ids) - low), len(chunk)))
                     for x, (cols, w) in found.items():
                         q = plan[x][0]
-                        q = q[(q >= low) & (q < low + QUERY_BLOCK)] - low
+                        q = q[np.searchsorted(q, low) : np.searchsorted(q, low + TILE)] - low
                         if len(q):
                             scores[np.ix_(q, cols)] += np.array(w)
-                    scores = np.round(scores, 6)
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(scores, best, 1)
-                    hit = value > 0
-                    r = np.nonzero(hit)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[low + r].tolist()), pa.array(chunk[best[hit]]), pa.array(value[hit])], ["query_id", "chunk_id", "score"])
+                    best.add(np.round(scores, 6), chunk, low, 1e-6)
+        q, key, value = best.settle()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(key.tolist()), pa.array(value)], ["query_id", "chunk_id", "score"])
 
-    return top(sized.select("chunk_id", "tokens").mapInArrow(score, kind), "query_id", "score", "chunk_id", k)
+    return sized.where("live").select("chunk_id", "tokens").mapInArrow(score, kind)
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,33 +170,37 @@ def usable_vector(v: Column, dim: int) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, exactly: every query against every vector.
 
-    ``queries``: query_id, vec; ``vectors``: chunk_id, vec. A block of queries of checked size is broadcast per pass;
-    every task keeps its own k best per query, so what is shuffled is k rows per query and task.
+    ``queries``: query_id, vec; ``vectors``: chunk_id, vec. A chunk of several vectors counts once, at its best. A block
+    of queries is broadcast per pass; tiles of queries and vectors are multiplied, and every task keeps its own k best
+    chunks per query, so what is shuffled is k rows per query and task.
     """
-    asked = queries.where(usable_vector(F.col("vec"), dim)).select("query_id", "vec").toArrow()
-    step = max(1, QUERY_BLOCK_BYTES // (8 * dim))
     spark = vectors.sparkSession
+    asked = queries.where(usable_vector(F.col("vec"), dim))
     stored = vectors.where(usable_vector(F.col("vec"), dim)).select("chunk_id", "vec")
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], kind)
-    for at in range(0, asked.num_rows, step):
-        part = asked.slice(at, step).combine_chunks()
-        ids = part.column("query_id").to_numpy()
+    for part in _blocks(asked, "vec", QUERY_BLOCK):
+        if not part.num_rows:
+            continue
+        ids = part.column("query_id").to_pylist()
         shared = spark.sparkContext.broadcast((ids, _rows(part.column("vec").combine_chunks(), dim)))
 
         def search(batches, shared=shared):
             ids, q = shared.value
-            for b in batches:
-                if b.num_rows:
-                    chunk = np.asarray(b.column(0).to_numpy(zero_copy_only=False))
-                    order = np.argsort(chunk, kind="stable")
-                    cos = np.round(q @ _rows(b.column(1), dim)[order].T, 6)
-                    best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(chunk[order][best.ravel()]), pa.array(np.take_along_axis(cos, best, 1).ravel())], ["query_id", "chunk_id", "score"])
+            best = Best(len(ids), k)
+            for whole in batches:
+                for first in range(0, whole.num_rows, 4 * TILE):
+                    b = whole.slice(first, 4 * TILE)
+                    chunk, x = np.asarray(b.column(0).to_pylist()), _rows(b.column(1), dim)
+                    for low in range(0, len(ids), TILE):
+                        best.add(np.round(q[low : low + TILE] @ x.T, 6), chunk, low, -2.0)
+            at, key, value = best.settle()
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.array(key.tolist()), pa.array(value)], ["query_id", "chunk_id", "score"])
 
         out = out.unionByName(stored.mapInArrow(search, kind))
-    return top(out, "query_id", "score", "chunk_id", k)
+    folded = out.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top(folded, "query_id", "score", "chunk_id", k)
 
 
 def legs(**parts: tuple[DataFrame, float]) -> DataFrame:
@@ -230,12 +263,13 @@ def interleave(**parts: DataFrame) -> DataFrame:
 
 
 def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, deep: int = 100) -> DataFrame:
-    """(query_id, n_rel, hit, rr, ndcg, recall) per query with at least one relevant key; misses count 0.
+    """(query_id, n_rel, hit3, hit, rr, ndcg, recall) per query with at least one relevant key; misses count 0.
 
     ``ranked``: query_id, key, rank (unique keys); ``relevant``: query_id, key. Reciprocal rank is not cut off.
     """
     n = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_rel"))
     found = ranked.join(relevant.distinct(), ["query_id", "key"]).groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") <= 3, 1).otherwise(0)).alias("hit3"),
         F.max(F.when(F.col("rank") <= k, 1).otherwise(0)).alias("hit"),
         (1 / F.min("rank")).alias("rr"),
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
@@ -243,7 +277,7 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, deep: int
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return n.join(found, "query_id", "left").select("query_id", "n_rel", zero("hit").alias("hit"), zero("rr").alias("rr"), (zero("dcg") / ideal).alias("ndcg"), (zero("n_found") / F.col("n_rel")).alias("recall"))
+    return n.join(found, "query_id", "left").select("query_id", "n_rel", zero("hit3").alias("hit3"), zero("hit").alias("hit"), zero("rr").alias("rr"), (zero("dcg") / ideal).alias("ndcg"), (zero("n_found") / F.col("n_rel")).alias("recall"))
 
 
 def hashed_embedding(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptoria.plans import base_plans, orphan_plans, retrieval_plans
+from scriptoria.plans import base_plans, orphan_plans, retrieval_plans, search_plans
 
-MODULES = [orphan_plans, retrieval_plans, base_plans]
+MODULES = [orphan_plans, retrieval_plans, search_plans, base_plans]
 
 
 def queries() -> dict:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scriptoria.operators import retrieval as op
 from scriptoria.session import table
 
-DEEP = 20
+#: Rows per leg; the fused list of an evaluation is cut to EVAL.
+DEEP, EVAL = 40, 100
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -30,11 +31,7 @@ def _words(s: SparkSession, d: str, k: int = DEEP) -> DataFrame:
 def _vectors(s: SparkSession, d: str, k: int = DEEP) -> DataFrame:
     vec = table(s, d, "vec_index").where("version_id = 2").select("vec_id", "owner_kind", "chunk_id", F.col("embedding").alias("vec")).dropDuplicates(["vec_id"])
     asked = _claims(s, d).join(vec, "vec_id").select(F.col("claim_id").alias("query_id"), "vec")
-    # Several vectors of one chunk: the best one counts, so more than k are kept first.
-    near = op.knn(asked, vec.where("owner_kind = 'chunk' AND chunk_id IS NOT NULL").select(F.struct("vec_id", "chunk_id")["vec_id"].alias("chunk_id"), "vec"), 4 * k)
-    of = vec.select(F.col("vec_id").alias("v"), F.col("chunk_id").alias("c"))
-    best = near.join(of, near.chunk_id == of.v).groupBy("query_id", F.col("c").alias("chunk_id")).agg(F.max("score").alias("score"))
-    return op.top(best, "query_id", "score", "chunk_id", k)
+    return op.knn(asked, vec.where("owner_kind = 'chunk' AND chunk_id IS NOT NULL").select("chunk_id", "vec"), k)
 
 
 def _legs(s: SparkSession, d: str) -> DataFrame:
@@ -95,7 +92,7 @@ def sort11_best_match(s, d):
 
 def _doc_ranks(s, d):
     paths = table(s, d, "doc_records").select("doc_id", F.col("path").alias("key")).distinct()
-    hits = op.rrf(_legs(s, d)).join(_chunks(s, d).select("chunk_id", "doc_id"), "chunk_id").join(paths, "doc_id")
+    hits = op.rrf(_legs(s, d)).where(F.col("rank") <= EVAL).join(_chunks(s, d).select("chunk_id", "doc_id"), "chunk_id").join(paths, "doc_id")
     first = hits.groupBy("query_id", "key").agg(F.min("rank").alias("r"))
     from pyspark.sql import Window
 
@@ -105,12 +102,12 @@ def _doc_ranks(s, d):
 def agg12_metrics(s, d):
     relevant = _claims(s, d).where("source_path IS NOT NULL").select(F.col("claim_id").alias("query_id"), F.col("source_path").alias("key"))
     m = op.rank_metrics(_doc_ranks(s, d), relevant)
-    return m.select("query_id", "n_rel", "hit", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"))
+    return m.select("query_id", "n_rel", "hit3", "hit", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"))
 
 
 def agg16_mean_metrics(s, d):
     m = agg12_metrics(s, d)
-    return m.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("hit", "rr", "ndcg", "recall")])
+    return m.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("hit3", "hit", "rr", "ndcg", "recall")])
 
 
 def src25_embedding(s, d):
@@ -139,8 +136,8 @@ vec AS (SELECT DISTINCT vec_id, owner_kind, chunk_id, CAST(embedding AS DOUBLE[6
 near AS (SELECT claim_id AS query_id, v.chunk_id, max(round(array_cosine_similarity(q.e, v.e), 6)) AS score
   FROM claims JOIN vec q USING (vec_id), vec v WHERE v.owner_kind = 'chunk' AND v.chunk_id IS NOT NULL GROUP BY ALL),
 vectors AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near),
-legs AS (SELECT query_id, chunk_id, score, rank, 'bm25' AS leg, 0 AS leg_no, 0.3 AS weight FROM words WHERE rank <= 20
-  UNION ALL SELECT query_id, chunk_id, score, rank, 'vector', 1, 1.5 FROM vectors WHERE rank <= 20),
+legs AS (SELECT query_id, chunk_id, score, rank, 'bm25' AS leg, 0 AS leg_no, 0.3 AS weight FROM words WHERE rank <= 40
+  UNION ALL SELECT query_id, chunk_id, score, rank, 'vector', 1, 1.5 FROM vectors WHERE rank <= 40),
 rrf0 AS (SELECT query_id, chunk_id, round(sum(weight / (60 + rank)), 6) AS score, min(leg_no * 1000 + rank) AS seen FROM legs GROUP BY ALL),
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS rank FROM rrf0),
 norm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM legs WINDOW w AS (PARTITION BY query_id, leg))"""
@@ -156,12 +153,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, se
 
 
 _METRICS = """, paths AS (SELECT DISTINCT doc_id, path FROM doc_records),
-dr AS (SELECT query_id, path AS key, min(rank) AS r FROM rrf JOIN chunks USING (chunk_id) JOIN paths USING (doc_id) GROUP BY ALL),
+dr AS (SELECT query_id, path AS key, min(rank) AS r FROM rrf JOIN chunks USING (chunk_id) JOIN paths USING (doc_id) WHERE rank <= 100 GROUP BY ALL),
 ranked AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY r, key) AS rank FROM dr),
 rel AS (SELECT DISTINCT claim_id AS query_id, source_path AS key FROM claims WHERE source_path IS NOT NULL),
 nr AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1),
-fnd AS (SELECT query_id, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS hit, 1.0 / min(rank) AS rr, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (rank <= 100) AS nf FROM ranked JOIN rel USING (query_id, key) GROUP BY 1),
-m AS (SELECT query_id, n_rel, coalesce(hit, 0) AS hit, round(coalesce(rr, 0), 6) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(nf, 0) / n_rel, 6) AS recall FROM nr LEFT JOIN fnd USING (query_id))"""
+fnd AS (SELECT query_id, max(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS hit3, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS hit, 1.0 / min(rank) AS rr, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (rank <= 100) AS nf FROM ranked JOIN rel USING (query_id, key) GROUP BY 1),
+m AS (SELECT query_id, n_rel, coalesce(hit3, 0) AS hit3, coalesce(hit, 0) AS hit, round(coalesce(rr, 0), 6) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(nf, 0) / n_rel, 6) AS recall FROM nr LEFT JOIN fnd USING (query_id))"""
 
 SQL = {
     "agg38_bm25": _q(" SELECT query_id, chunk_id, score, rank FROM words WHERE rank <= 10"),
@@ -177,10 +174,10 @@ p AS (SELECT query_id, path, max(score) AS score, min(rank) AS f, list(chunk_id
 SELECT query_id, path, score, chunk_ids, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS rank FROM p"""),
     "win9_round_robin": _q(""", f AS (SELECT query_id, chunk_id, min(rank * 10 + 1 - leg_no) AS pos FROM legs GROUP BY ALL),
 r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, chunk_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 20"""),
-    "win3_best_per_doc": _q(" SELECT query_id, doc_id, arg_min(chunk_id, rank) AS chunk_id, arg_min(score, rank) AS score, min(rank) AS rank FROM words JOIN chunks USING (chunk_id) WHERE rank <= 20 GROUP BY query_id, doc_id"),
+    "win3_best_per_doc": _q(" SELECT query_id, doc_id, arg_min(chunk_id, rank) AS chunk_id, arg_min(score, rank) AS score, min(rank) AS rank FROM words JOIN chunks USING (chunk_id) WHERE rank <= 40 GROUP BY query_id, doc_id"),
     "sort11_best_match": _q(" SELECT query_id, score AS best_match FROM vectors WHERE rank = 1"),
     "agg12_metrics": _q(_METRICS + " SELECT * FROM m"),
-    "agg16_mean_metrics": _q(_METRICS + " SELECT count(*) AS n_queries, round(avg(hit), 6) AS mean_hit, round(avg(rr), 6) AS mean_rr, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall), 6) AS mean_recall FROM m"),
+    "agg16_mean_metrics": _q(_METRICS + " SELECT count(*) AS n_queries, round(avg(hit3), 6) AS mean_hit3, round(avg(hit), 6) AS mean_hit, round(avg(rr), 6) AS mean_rr, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall), 6) AS mean_recall FROM m"),
     "src25_embedding": """WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents),
 b AS (SELECT doc_id, CAST(('0x' || substr(sha1(w), 1, 8)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""",
