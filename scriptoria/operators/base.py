@@ -76,3 +76,20 @@ def keyset_page(rows: DataFrame, newest: str, key: str, limit: int, cursor: str
         at, last = decode_cursor(cursor)
         rows = rows.where((F.col(newest) < F.lit(at).cast("timestamp")) | ((F.col(newest) == F.lit(at).cast("timestamp")) & (F.col(key) > last)))
     return rows.orderBy(F.col(newest).desc_nulls_last(), key).limit(limit + 1)
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; a null key has none."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def lookup_batch(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among the first column of ``wanted``; unknown keys are passed over."""
+    return rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)), key, "left_semi")
+
+
+def string_list(document: Column, name: str) -> Column:
+    """A list in a JSON document with its strings only; [] where the field is absent or no list."""
+    items = F.try_variant_get(F.try_parse_json(document), f"$.{name}", "array<variant>")
+    held = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    return F.coalesce(held, F.array().cast("array<string>"))

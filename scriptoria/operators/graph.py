@@ -46,6 +46,23 @@ def outgoing(links: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*links.columns, F.when(F.col("t.active"), F.col("t.doc_id")).alias("dst_doc_id"))
 
 
+def incoming(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """(link_id, src_doc_id, dst_doc_id): links to a document's exact path from active documents."""
+    live = docs.where("active").select(F.col("doc_id").alias("src_doc_id")).distinct()
+    target = docs.select(F.col("doc_id").alias("dst_doc_id"), F.col("path").alias("dst_path")).distinct()
+    return links.join(live, "src_doc_id", "left_semi").join(target, "dst_path").select("link_id", "src_doc_id", "dst_doc_id").distinct()
+
+
+def both_ways(resolved: DataFrame, coming: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, way, other, link_id): at most ``limit`` links of a document in each direction, by link."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    out = resolved.where("dst_doc_id IS NOT NULL").select(F.col("src_doc_id").alias("doc_id"), F.lit("out").alias("way"), F.col("dst_doc_id").alias("other"), "link_id")
+    every = out.unionByName(coming.select(F.col("dst_doc_id").alias("doc_id"), F.lit("in").alias("way"), F.col("src_doc_id").alias("other"), "link_id"))
+    w = Window.partitionBy("doc_id", "way").orderBy("link_id")
+    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+
+
 def inbound(links: DataFrame) -> DataFrame:
     """Wikilinks per exact target path, occurrences counted."""
     return links.where("link_type = 'wikilink' AND dst_path IS NOT NULL").groupBy("dst_path").agg(F.count("*").alias("n_inbound"))

@@ -337,20 +337,6 @@ def agg21_categories(s, d):
     return n.join(F.broadcast(total)).select("category", "n_pages", F.round(F.col("n_pages") / F.col("total"), 6).alias("share"))
 
 
-@query("""WITH c AS (SELECT DISTINCT claim_id, page_path, max_cosine FROM grounding_claims WHERE page_path IS NOT NULL), p AS (SELECT page_path, avg(CASE WHEN max_cosine >= 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM c GROUP BY 1)
-SELECT count(*) AS n_pages, round(avg(r), 6) AS grounding FROM p""")
-def agg18_grounding(s, d):
-    return stats.grounding(table(s, d, "grounding_claims").select("claim_id", "page_path", "max_cosine").distinct(), 0.5)
-
-
-@query("""WITH c AS (SELECT DISTINCT source_path, best_chunk_seq FROM grounding_claims WHERE max_cosine >= 0.5 AND best_chunk_seq IS NOT NULL), t AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, seq FROM embed_queue))
-SELECT (SELECT count(*) FROM c) AS n_covered, n AS n_chunks, round((SELECT count(*) FROM c) / n, 6) AS coverage FROM t""")
-def agg19_coverage(s, d):
-    covered = table(s, d, "grounding_claims").where("max_cosine >= 0.5 AND best_chunk_seq IS NOT NULL").select("source_path", "best_chunk_seq").distinct().agg(F.count("*").alias("n_covered"))
-    chunks = table(s, d, "embed_queue").select("doc_id", "seq").distinct().agg(F.count("*").alias("n_chunks"))
-    return covered.join(F.broadcast(chunks)).withColumn("coverage", F.round(F.col("n_covered") / F.col("n_chunks"), 6))
-
-
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(coalesce(stddev_samp(n_chars), 0), 4) AS std FROM documents GROUP BY lang")
 def agg31_mean_std(s, d):
     return stats.mean_std(table(s, d, "documents"), "lang", "n_chars").select("lang", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
@@ -409,16 +395,3 @@ def str19_fuzzy_targets(s, d):
     """For every unresolved link the most similar known path of the same folder."""
     lost = _resolved(s, d).where("dst_doc_id IS NULL AND (link_type IS NULL OR link_type <> 'url') AND trim(dst_path) <> ''").select(F.col("dst_path").alias("target")).distinct()
     return fixes.fuzzy_targets(lost, table(s, d, "doc_records").where("active").select("path").distinct())
-
-
-@query("""WITH p AS (SELECT id, path, tags, sources FROM (SELECT DISTINCT * FROM knowledge_pages)),
-o AS (SELECT * FROM p WHERE path NOT IN (SELECT dst_path FROM links WHERE link_type = 'wikilink' AND dst_path IS NOT NULL)),
-s AS (SELECT DISTINCT id, unnest(sources) AS v FROM p), t AS (SELECT DISTINCT id, unnest(tags) AS v FROM p),
-sh AS (SELECT a.id AS orphan, b.id AS other, count(*) AS n FROM s a JOIN s b ON a.v = b.v AND a.id <> b.id WHERE a.id IN (SELECT id FROM o) AND trim(a.v) <> '' GROUP BY ALL),
-th AS (SELECT a.id AS orphan, b.id AS other, count(*) AS n FROM t a JOIN t b ON a.v = b.v WHERE trim(a.v) <> '' GROUP BY ALL),
-x AS (SELECT sh.orphan, sh.other, 3.0 * sh.n + coalesce(th.n, 0) AS score FROM sh LEFT JOIN th USING (orphan, other)),
-r AS (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY score DESC, other) AS n FROM x) SELECT orphan, other, score FROM r WHERE n = 1""")
-def fix3_orphan_scores(s, d):
-    pages = _pages(s, d)
-    lone = pages.join(graph.inbound(_links(s, d)), pages.path == F.col("dst_path"), "left_anti").select("id")
-    return fixes.orphan_candidates(pages, lone)
