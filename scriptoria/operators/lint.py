@@ -84,6 +84,12 @@ def untracked_files(docs: DataFrame, files: DataFrame) -> DataFrame:
     return _issue(files.join(docs.where("active").select("path_key").distinct(), "path_key", "left_anti"), "untracked_file", F.col("path"), F.lit(""))
 
 
+def skips(pages: DataFrame, front_matter: str) -> DataFrame:
+    """(path, kind) that pages silence in the ``skip`` list of their front matter's ``lint``; anything else there silences nothing."""
+    kinds = F.try_variant_get(F.try_parse_json(F.col(front_matter)), "$.lint.skip", "array<string>")
+    return pages.select("path", F.explode(kinds).alias("kind")).where("kind IS NOT NULL").distinct()
+
+
 def run(issues: list[DataFrame], skips: DataFrame | None = None) -> DataFrame:
     """All issues but those a page silences (``skips``: path, kind)."""
     out = reduce(DataFrame.unionByName, issues)

@@ -226,12 +226,6 @@ def fil6_reverse_provenance(s, d):
     return graph.provenance(_pages(s, d), table(s, d, "doc_records")).where("resolved").groupBy("source_key").agg(F.count("*").alias("n_pages"))
 
 
-@query()
-def join12_titles(s, d):
-    asked = table(s, d, "doc_records").where("title IS NOT NULL").select("title").distinct()
-    return graph.resolve_titles(asked, table(s, d, "knowledge_pages").select("title", "path"))
-
-
 # --- lint ------------------------------------------------------------------------------------------------------
 
 @query("SELECT 'orphan_page' AS kind, path, '' AS detail FROM (SELECT DISTINCT path FROM knowledge_pages) WHERE path NOT IN (SELECT dst_path FROM links WHERE link_type = 'wikilink' AND dst_path IS NOT NULL)")
@@ -262,26 +256,6 @@ def lint6_dangling(s, d):
     return lint.dangling_provenance(graph.provenance(pages, table(s, d, "doc_records")), pages.select("id", "path").distinct())
 
 
-def _all_issues(s, d):
-    pages = _pages(s, d)
-    return lint.run(
-        [
-            lint.broken_links(_resolved(s, d)), lint.orphan_pages(pages.select("path").distinct(), _links(s, d)), lint.duplicate_titles(pages), lint.non_atomic(pages), lint.title_quality(pages),
-            lint.uncategorized(pages, "inbox"), lint.invalid_status(_docs(s, d)), lint.dangling_provenance(graph.provenance(pages, table(s, d, "doc_records")), pages.select("id", "path").distinct()),
-        ]
-    )
-
-
-@query()
-def lint9_title_quality(s, d):
-    return lint.title_quality(_pages(s, d))
-
-
-@query()
-def agg26_lint_tally(s, d):
-    return _all_issues(s, d).groupBy("kind").agg(F.count("*").alias("n_issues"))
-
-
 @query("SELECT DISTINCT 'uncategorized' AS kind, path, 'inbox' AS detail FROM knowledge_pages WHERE category = 'inbox'")
 def lint8_uncategorized(s, d):
     return lint.uncategorized(_pages(s, d), "inbox")

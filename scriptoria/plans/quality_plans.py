@@ -30,7 +30,9 @@ _VEC = """vec AS (SELECT DISTINCT vec_id, owner_kind, chunk_id, CAST(embedding A
 # Punctuation at the ends of a title's words.
 _MARKS = r"""[.,!?;:"''()\[\]{}<>。、《》〈〉「」『』【】“”‘’]+"""
 _WIDE = "nfc_normalize(array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(ord(c) - 65248) WHEN ord(c) IN (160, 8199, 8239, 12288) OR ord(c) BETWEEN 8192 AND 8202 THEN ' ' ELSE c END), ''))"
-_WORDS = rf"list_filter(list_transform(regexp_split_to_array(lower({_WIDE}), '\s+'), lambda w: regexp_replace(w, '^{_MARKS}|{_MARKS}$', '', 'g')), lambda w: w <> '')"
+# Full case folding and the compatibility forms that titles hold.
+_FOLDED = f"replace(replace(replace(replace(replace(replace(lower({_WIDE}), 'ß', 'ss'), 'ς', 'σ'), 'ⅲ', 'iii'), 'ⅱ', 'ii'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+_WORDS = rf"list_filter(list_transform(regexp_split_to_array({_FOLDED}, '\s+'), lambda w: regexp_replace(w, '^{_MARKS}|{_MARKS}$', '', 'g')), lambda w: w <> '')"
 _TITLE = f"array_to_string({_WORDS}, ' ')"
 
 
@@ -353,6 +355,57 @@ def lint12_untracked_files(s, d):
     return lint.untracked_files(_register(s, d), _files(s, d))
 
 
-@query("SELECT DISTINCT 'invalid_wisdom_status' AS kind, path, status AS detail FROM doc_records WHERE layer = 'wisdom' AND active AND status NOT IN ('draft', 'published', 'favorite', 'archived')")
-def lint7_invalid_status(s, d):
-    return lint.invalid_status(table(s, d, "doc_records")).distinct()
+_H1 = "regexp_replace(regexp_extract(regexp_replace(body, '(?s)```.*?```', '', 'g'), '(?m)^\\s{0,3}#\\s+(.*)$', 1), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT path, {_H1} AS h, regexp_replace(coalesce(title, ''), '^\s+|\s+$', '', 'g') AS t, regexp_replace(list_extract(string_split(path, '/'), -1), '\.[^.]*$', '') AS stem FROM (SELECT DISTINCT * FROM knowledge_pages) WHERE body IS NOT NULL),
+f AS (SELECT path, concat_ws(',', CASE WHEN h = '' THEN 'no_heading' END, CASE WHEN h <> '' AND NOT regexp_matches(h, '[\p{{L}}\p{{N}}]') THEN 'punctuation_only' END, CASE WHEN t <> '' AND h <> '' AND t <> h THEN 'title_drift' END,
+ CASE WHEN stem = 'untitled' AND NOT regexp_matches(CASE WHEN t <> '' THEN t ELSE h END, '[A-Za-z0-9]') THEN 'untitled_slug' END) AS detail FROM p) SELECT 'title_slug_quality' AS kind, path, detail FROM f WHERE detail <> ''""")
+def lint9_title_quality(s, d):
+    return lint.title_quality(bp._pages(s, d))
+
+
+@query(rf"""WITH a AS (SELECT DISTINCT title FROM doc_records WHERE title IS NOT NULL), n AS (SELECT DISTINCT title, path FROM knowledge_pages WHERE title IS NOT NULL),
+ex AS (SELECT title, min(path) AS path, count(DISTINCT path) AS n FROM n GROUP BY 1), fz AS (SELECT k, min(path) AS path FROM (SELECT {_TITLE.replace('{0}', 'title')} AS k, path FROM n) GROUP BY k HAVING count(DISTINCT path) = 1),
+q AS (SELECT title, CASE WHEN regexp_matches(k, '(^| )[a-z]{{2,60}}[a-rt-z]s$') THEN left(k, -1) ELSE k END AS k FROM (SELECT title, {_TITLE.replace('{0}', 'title')} AS k FROM a))
+SELECT q.title, CASE WHEN ex.n = 1 THEN ex.path ELSE fz.path END AS path, CASE WHEN ex.n = 1 THEN 'exact' WHEN fz.path IS NOT NULL THEN 'fuzzy' END AS how FROM q LEFT JOIN ex USING (title) LEFT JOIN fz USING (k)""")
+def join12_titles(s, d):
+    """Every title of the register, looked up among the titles of the pages."""
+    asked = table(s, d, "doc_records").where("title IS NOT NULL").select("title").distinct()
+    return graph.resolve_titles(asked, table(s, d, "knowledge_pages").select("title", "path"))
+
+
+def _issues(s, d):
+    pages, links = bp._pages(s, d), bp._links(s, d)
+    docs = table(s, d, "doc_records")
+    return lint.run(
+        [
+            lint.broken_links(bp._resolved(s, d)), lint.orphan_pages(pages.select("path").distinct(), links), lint.duplicate_titles(pages), lint.non_atomic(pages.select("path", "body", "tags", "id").distinct()), lint.title_quality(pages),
+            lint.uncategorized(pages, "inbox").distinct(), lint.invalid_status(docs).distinct(), lint.dangling_provenance(graph.provenance(pages, docs), pages.select("id", "path").distinct()),
+            lint.missing_files(_register(s, d), _files(s, d)), lint.stale_index(_register(s, d), _files(s, d)), lint.untracked_files(_register(s, d), _files(s, d)),
+        ],
+        lint.skips(table(s, d, "knowledge_pages").select("path", "extras").distinct(), "extras"),
+    )
+
+
+_LINTS = [bp.SQL[n] for n in ("lint1_broken_links", "lint2_orphans", "lint3_duplicate_titles", "lint4_non_atomic", "lint6_dangling", "lint8_uncategorized")]
+_LINTS += [SQL[n] for n in ("lint9_title_quality", "lint10_missing_files", "lint11_stale_index", "lint12_untracked_files")]
+_LINTS.append("SELECT DISTINCT 'invalid_wisdom_status' AS kind, path, status AS detail FROM doc_records WHERE layer = 'wisdom' AND active AND status NOT IN ('draft', 'published', 'favorite', 'archived')")
+_PASS = " UNION ALL ".join(f"SELECT kind, path, CAST(detail AS VARCHAR) AS detail FROM ({x})" for x in _LINTS)
+
+
+@query(f"WITH every_issue AS ({_PASS}) SELECT kind, path, detail FROM every_issue")
+def lint13_pass(s, d):
+    """All issues of the whole base; what a page's front matter silences is left out."""
+    return _issues(s, d)
+
+
+@query(f"WITH every_issue AS ({_PASS}) SELECT kind, count(*) AS n_issues FROM every_issue GROUP BY kind")
+def agg26_lint_tally(s, d):
+    return _issues(s, d).groupBy("kind").agg(F.count("*").alias("n_issues"))
+
+
+@query(f"WITH every_issue AS ({_PASS}) SELECT kind, path, detail, action FROM (SELECT *, CASE kind WHEN 'missing_file' THEN 'drop_row' WHEN 'stale_index' THEN 'reindex' WHEN 'untracked_file' THEN 'reindex' WHEN 'dangling_provenance' THEN 'drop_source' END AS action FROM every_issue) WHERE action IS NOT NULL")
+def fix6_single_operations(s, d):
+    """The proposals that need no search: one operation per issue."""
+    return fixes.single_operations(_issues(s, d))
