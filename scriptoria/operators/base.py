@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key: the last by ``order`` (ties: the larger of the whole row). Nulls sort first."""
     rest = [c for c in rows.columns if c not in key]
-    pick = F.struct(*order, *[c for c in rest if c not in order])
+    pick = F.struct(*order, *[c for c in rest if c not in order]) if rest else F.struct(F.lit(0))
     return rows.groupBy(*key).agg(F.max(pick).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# Blank lines, headings, Chinese runs.
 _BREAK = re.compile(r"\n[ \t]*\n|\r\n[ \t]*\r\n")
 _HEADING = re.compile(r"\s{0,3}(#{1,6})\s+\S")
 _HAN = re.compile(r"[一-鿿]+")
-_TITLE = re.compile(r"^\s{0,3}#{1,6}\s+(.+?)\s*$", re.MULTILINE)
+_TITLE = re.compile(r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$", re.MULTILINE)
 
 
 def tokens(text: str) -> int:
@@ -37,41 +40,44 @@ def paragraphs(body: str) -> Iterator[Part]:
         at = stop[1]
 
 
-def pack(parts: Iterator[Part], budget: int, share: float) -> Iterator[tuple[int, int]]:
-    """Spans of consecutive paragraphs within ``budget`` tokens.
+def cut_points(sizes: list[int], heads: list[int], budget: int, allowance: int) -> Iterator[tuple[int, int]]:
+    """(first, stop) of spans of consecutive paragraphs; ``heads`` are the places of headings, in order.
 
-    A heading closes a span that already holds more than the overlap allowance. A closed span hands on its last
-    paragraph (unless that alone fills the budget) and earlier ones while they fit the allowance; what was handed on
-    is dropped when the next paragraph would not fit beside it.
+    With P the running sum of sizes, a span from i stops at the first place where the next paragraph would lift it over
+    the budget, or at the first heading before which it holds more than the allowance: both are searches in P. The next span
+    reaches back over the last paragraph, if that alone is under the budget, and as far as the allowance bears; it
+    starts afresh where the paragraph at the stop would not fit beside that.
     """
-    allowance = int(budget * share)
-    held: list[Part] = []
-
-    def size() -> int:
-        return sum(p.size for p in held)
-
-    def hand_on() -> list[Part]:
-        kept = held[-1:] if held[-1].size < budget else []
-        room = allowance - sum(p.size for p in kept)
-        for p in reversed(held[:-1]):
-            if p.size > room:
-                break
-            kept.insert(0, p)
-            room -= p.size
-        return kept
-
-    for p in parts:
-        if p.heading and held and size() > allowance:
-            yield held[0].start, held[-1].end
-            held = hand_on()
-        if held and size() + p.size > budget:
-            yield held[0].start, held[-1].end
-            held = hand_on()
-            if held and size() + p.size > budget:
-                held = []
-        held.append(p)
-    if held:
-        yield held[0].start, held[-1].end
+    total = [0, *accumulate(sizes)]
+    n, first, least = len(sizes), 0, 1
+    fits = lambda i, j: total[j + 1] - total[i] <= budget
+
+    def back(i: int, j: int) -> int:
+        if sizes[j - 1] >= budget:
+            return j
+        return max(i, min(j - 1, bisect_left(total, total[j] - allowance)))
+
+    while first < n:
+        full = max(least, bisect_right(total, total[first] + budget) - 1)
+        at = bisect_left(heads, max(least, bisect_right(total, total[first] + allowance)))
+        head = heads[at] if at < len(heads) else n
+        stop = min(full, head, n)
+        yield first, stop
+        if stop == n:
+            return
+        kept = back(first, stop)
+        if stop == head and kept < stop and not fits(kept, stop):
+            # What a heading hands on may itself be too much: it stands alone, and hands on in turn.
+            yield kept, stop
+            kept = back(kept, stop)
+        first, least = (kept if fits(kept, stop) else stop), stop + 1
+
+
+def pack(parts: Iterator[Part], budget: int, share: float) -> Iterator[tuple[int, int]]:
+    """Character spans of consecutive paragraphs within ``budget`` tokens, of which ``share`` may overlap."""
+    held = list(parts)
+    for i, j in cut_points([p.size for p in held], [i for i, p in enumerate(held) if p.heading], budget, int(budget * share)):
+        yield held[i].start, held[j - 1].end
 
 
 def sections(body: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

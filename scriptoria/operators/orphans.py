@@ -17,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.operators.ordering import RANGE_SHIFT
 from scriptoria.session import store
 
 FOREVER = (1 << 63) - 1
 START, REF, END = 0, 1, 2
-#: ``monotonically_increasing_id`` holds the number of the range above this bit, the row's number within it below.
-RANGE_SHIFT = 33
 
 
 def micros(at: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 WIKI = re.compile(r"\[\[([^\]\|\n]+?)(?:\|([^\]\n]+?))?\]\]")
 MARKDOWN = re.compile(r"(?<!!)\[([^\]\n]+?)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
 BARE = re.compile(r"(?<![\[(])\b(https?://[^\s)]+)")
-IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)|!\[\[([^\]|\n]+)(?:\|([^\]\n]*))?\]\]")
+IMAGE = re.compile(r"!\[([^\]]*)\]\(\s*([^)\n]+?)(?=\s+\"[^\"\n]*\"\s*\)|\s*\))(?:\s+\"[^\"\n]*\")?\s*\)|!\[\[([^\]|]+?)(?:\|([^\]]+))?\]\]")
 SKIPPED = ("mailto:", "tel:", "#")
 
 

@@ -14,13 +14,6 @@ def mean_std(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
 
 
-def grounding(claims: DataFrame, tau: float) -> DataFrame:
-    """Share of a page's claims with a cosine of ``tau`` or more, averaged over pages."""
-    hit = F.coalesce((F.col("max_cosine") >= tau), F.lit(False)).cast("double")
-    per_page = claims.where("page_path IS NOT NULL").groupBy("page_path").agg(F.avg(hit).alias("r"))
-    return per_page.agg(F.count("*").alias("n_pages"), F.round(F.avg("r"), 6).alias("grounding"))
-
-
 def welch(rows: DataFrame, by: str, value: str, control: str) -> DataFrame:
     """t, degrees of freedom, pooled effect size d and two-sided p of every group against ``control``."""
     a = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
@@ -83,27 +76,72 @@ def against_baseline(pinned: DataFrame, seen: DataFrame, tolerance: float) -> Da
 def bootstrap(rows: DataFrame, value: str, rounds: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """(mean, low, high) of a mean, by Poisson resampling: every row weighs in every round by itself, in one pass.
 
-    Tasks return sums per round, so no row is moved; weights come from a generator seeded by the row's own hash.
+    Tasks return sums per round, so no row is moved. A row's weights are drawn by its place (partition and position), so
+    equal rows weigh independently. Nulls are left out; no rows give nulls.
     """
     import pyarrow as pa
 
     def run(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         total, weight = np.zeros(rounds), np.zeros(rounds)
         for b in batches:
-            for x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if x is not None:
-                    w = np.random.default_rng([seed, h & (2**63 - 1)]).poisson(1.0, rounds)
-                    total += w * x
-                    weight += w
+            x = b.column(0).drop_null().to_numpy()
+            for at in range(0, len(x), 512):
+                w = rng.poisson(1.0, (len(x[at : at + 512]), rounds))
+                total += x[at : at + 512] @ w
+                weight += w.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), pa.array(total), pa.array(weight)], ["round", "total", "weight"])
 
-    cols = [rows[value].cast("double").alias("x"), F.xxhash64(*rows.columns).alias("h")]
-    means = rows.select(*cols).mapInArrow(run, "round int, total double, weight double").groupBy("round").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
+    means = rows.select(rows[value].cast("double").alias("x")).mapInArrow(run, "round int, total double, weight double").groupBy("round").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
     edge = (1 - level) / 2
     ci = means.agg(F.percentile("m", edge).alias("low"), F.percentile("m", 1 - edge).alias("high"))
     return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(ci))
 
 
+# When a change counts.
+P_MOST, EFFECT_LEAST = 0.05, 0.10
+
+
+def ab_verdict(p: Column, change: Column, higher_is_better: Column) -> Column:
+    """ships, regressed or inconclusive: significant and of an effect that matters, in the better or the worse direction."""
+    gain = F.when(higher_is_better, change).otherwise(-change)
+    return F.when((p < P_MOST) & (gain > EFFECT_LEAST), "ships").when((p < P_MOST) & (gain < -EFFECT_LEAST), "regressed").otherwise("inconclusive")
+
+
+def model_matrix(runs: DataFrame, baseline: str) -> DataFrame:
+    """(metric, arm, n, mean, std, p, best): every arm of every metric against the baseline arm; ``runs``: arm, metric, value.
+
+    A metric ending in _max is better when lower. Ties for the best go to the first arm by name.
+    """
+    a = runs.where("value IS NOT NULL").groupBy("metric", "arm").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    b = a.where(F.col("arm") == baseline).select("metric", F.col("n").alias("n0"), F.col("mean").alias("m0"), F.col("std").alias("s0"))
+    x = a.join(b, "metric", "left")
+    sa, sb = F.col("std") ** 2 / F.col("n"), F.col("s0") ** 2 / F.col("n0")
+    tested = (F.col("arm") != baseline) & (F.col("n") > 1) & (F.col("n0") > 1) & (sa + sb > 0)
+    t = F.when(tested, (F.col("mean") - F.col("m0")) / F.sqrt(sa + sb))
+    df = F.when(tested, (sa + sb) ** 2 / (sa**2 / (F.col("n") - 1) + sb**2 / (F.col("n0") - 1)))
+    from pyspark.sql import Window
+
+    good = F.when(F.col("metric").endswith("_max"), -F.col("mean")).otherwise(F.col("mean"))
+    w = Window.partitionBy("metric").orderBy(F.desc(good), "arm")
+    out = x.withColumn("p", t_two_sided(t, df)).withColumn("best", F.row_number().over(w) == 1)
+    return out.select("metric", "arm", "n", "mean", "std", "p", "best")
+
+
+def judge_summary(verdicts: DataFrame, by: str) -> DataFrame:
+    """(by, n, n_errors, score, low, high, trustworthy): yes counts 1, partial 0.5, no 0; a null verdict is an error.
+
+    Bounds are those of the mean at 95 % by its standard error; a summary with errors in more than a tenth is not to be trusted.
+    """
+    v = F.when(F.col("verdict") == "yes", 1.0).when(F.col("verdict") == "partial", 0.5).when(F.col("verdict") == "no", 0.0)
+    a = verdicts.groupBy(by).agg(F.count("*").alias("rows"), F.count(v).alias("n"), F.avg(v).alias("score"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("s"))
+    half = 1.96 * F.col("s") / F.sqrt("n")
+    errors = F.col("rows") - F.col("n")
+    return a.select(by, "n", errors.alias("n_errors"), "score", F.greatest(F.col("score") - half, F.lit(0.0)).alias("low"), F.least(F.col("score") + half, F.lit(1.0)).alias("high"), ((F.col("n") > 0) & (errors <= 0.1 * F.col("rows"))).alias("trustworthy"))
+
+
 def sweep(legs: DataFrame, relevant: DataFrame, grid: DataFrame, k: int = 10) -> DataFrame:
     """Mean nDCG of weighted reciprocal rank fusion over a grid (rrf_k, w_bm25, w_vector), every point in one job.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.operators.ordering import numbered_within
+
 
 def event_type(body: Column) -> Column:
     """The type in a JSON body; null for null, cut-off or foreign bodies."""
@@ -14,14 +16,26 @@ def event_type(body: Column) -> Column:
 def admitted(events: DataFrame) -> DataFrame:
     """Events of the tape with ``new_seq``: once a task is final, only what happened up to its first final event stays.
 
-    A row delivered twice counts once. Unreadable bodies stay as events of no type. Tasks without key have no tape.
-    The busiest task is one window partition: its rows sort and spill, they are not held.
+    A row delivered twice counts once. Unreadable bodies stay as events of no type. Tasks without key have no tape. The
+    first final event of a task is a map-side minimum, and numbers are places in a sort by range, so the busiest
+    task is in no single window.
     """
     once = events.where("task_id IS NOT NULL").distinct().withColumn("type", event_type(F.col("body")))
-    w = Window.partitionBy("task_id").orderBy("seq", "event_id")
-    before = F.max(F.when(F.col("type") == "final", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = once.withColumn("closed", F.coalesce(before, F.lit(0))).where("closed = 0").drop("closed")
-    return kept.withColumn("new_seq", F.row_number().over(w) - 1)
+    at = F.struct("seq", "event_id")
+    end = once.where("type = 'final'").groupBy("task_id").agg(F.min(at).alias("_end"))
+    kept = once.join(end, "task_id", "left").where(F.col("_end").isNull() | (at <= F.col("_end"))).drop("_end")
+    return numbered_within(kept, "task_id", ["seq", "event_id"], "new_seq")
+
+
+def cancelled(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tasks that are asked to stop (task_id) and have not ended become cancelled; an end is never replaced."""
+    stop = tasks.join(wanted.select("task_id", F.lit(True).alias("_stop")).distinct(), "task_id", "left")
+    return stop.withColumn("status", F.when(F.col("_stop") & F.col("status").isin("pending", "running"), "cancelled").otherwise(F.col("status"))).drop("_stop")
+
+
+def marker_state(markers: DataFrame, key: str, action: str, order: list[str]) -> DataFrame:
+    """Per source the last of its markers (done, failed, ...) in the order given."""
+    return markers.groupBy(key).agg(F.max_by(F.struct(action), F.struct(*order)).alias("_m")).select(key, F.col(f"_m.{action}").alias(action))
 
 
 def replay(tape: DataFrame, start: int) -> DataFrame:

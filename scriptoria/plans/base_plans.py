@@ -336,13 +336,16 @@ def agg17_gate(s, d):
 
 # --- parsing, chunking, fixes ----------------------------------------------------------------------------------
 
-@query()
+@query(r"""SELECT id, len(list_filter(regexp_extract_all(body, '\[\[([^\]\|\n]+?)(?:\|[^\]\n]+?)?\]\]'), lambda x: true)) AS n_wikilinks, len(list_distinct(list_transform(regexp_extract_all(body, '\[\[([^\]\|\n]+?)(?:\|[^\]\n]+?)?\]\]', 1), lambda t: trim(string_split(trim(t), '#')[1])))) AS n_targets
+FROM (SELECT DISTINCT id, body FROM knowledge_pages) WHERE body IS NOT NULL""")
 def str7_links(s, d):
-    """All links in document texts, with kind, target, anchor and line."""
-    return parsing.links(table(s, d, "documents"), "doc_id", "text")
+    """Wikilinks of every page body, and how many targets they name."""
+    pages = table(s, d, "knowledge_pages").where("body IS NOT NULL").select("id", "body").distinct()
+    found = parsing.links(pages, "id", "body").where("kind = 'wikilink'").groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("target").alias("m"))
+    return pages.join(found, pages.id == found.key, "left").select("id", F.coalesce("n", F.lit(0)).alias("n_wikilinks"), F.coalesce("m", F.lit(0)).alias("n_targets"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '!\[[^\]\n]*\]\([^)\s]+(?:\s+"[^"]*")?\)')) AS n_images FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '!\[[^\]]*\]\(\s*[^)\n]+?(?:\s+"[^"\n]*")?\s*\)|!\[\[[^\]|]+?(?:\|[^\]]+)?\]\]')) AS n_images FROM documents WHERE text IS NOT NULL""")
 def src6_image_counts(s, d):
     found = parsing.images(table(s, d, "documents"), "doc_id", "text").groupBy("key").agg(F.count("*").alias("n_images"))
     docs = table(s, d, "documents").where("text IS NOT NULL").select("doc_id")

@@ -9,6 +9,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,10 @@ def _empty_files(spark: SparkSession, base: str, suffix: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(path, mtime, content) of the markdown files below ``root``; ``wisdom/`` and ignored globs are left out."""
-    base = os.path.abspath(root)
+    base = root.rstrip("/") if "://" in root else os.path.abspath(root)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base).select("path", "modificationTime", "content")
     raw = raw.unionByName(_empty_files(spark, base, ".md"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + "\\Q" + base + "\\E/?", "")
+    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + "\\Q" + base + "\\E/?", "")  # other schemes keep theirs, as ``base`` does
     out = raw.select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "content").where(~F.col("path").startswith("wisdom/"))
     for glob in ignore:
         out = out.where(~F.col("path").rlike("^" + fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$") + ""))
@@ -100,15 +101,32 @@ def sniff(head: bytes) -> tuple[str | None, int | None, int | None]:
     return None, None, None
 
 
+# Types by extension, for bytes that say nothing.
+BY_EXTENSION = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
+
+
 def assets(files: DataFrame) -> DataFrame:
     """Content-addressed images: (asset_id, mime, width, height, bytes, original_paths); equal bytes are one asset."""
 
-    @F.udf("struct<mime:string,width:int,height:int>")
-    def probe(head):
-        return sniff(bytes(head))
+    @F.pandas_udf("mime string, width int, height int")
+    def probe(head: pd.Series, path: pd.Series) -> pd.DataFrame:
+        seen = [sniff(bytes(h)) for h in head]
+        return pd.DataFrame([(m or BY_EXTENSION.get(p.rsplit(".", 1)[-1].lower()), w, h) for (m, w, h), p in zip(seen, path)], columns=["mime", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+    one = files.select(F.sha2("content", 256).alias("asset_id"), "path", F.length("content").alias("bytes"), probe(F.substring("content", 1, 65536), "path").alias("p"))
+    return one.groupBy("asset_id").agg(F.max("p.mime").alias("mime"), F.max("p.width").alias("width"), F.max("p.height").alias("height"), F.max("bytes").alias("bytes"), F.array_sort(F.collect_set("path")).alias("original_paths"))
+
 
-    one = files.select(F.sha2("content", 256).alias("asset_id"), "path", F.length("content").alias("bytes"), probe(F.substring("content", 1, 65536)).alias("p"))
-    return one.groupBy("asset_id").agg(F.first("p.mime").alias("mime"), F.first("p.width").alias("width"), F.first("p.height").alias("height"), F.max("bytes").alias("bytes"), F.array_sort(F.collect_set("path")).alias("original_paths"))
+def materialized(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """``found`` (of ``assets``) with ``was_new`` and the paths known so far before the new ones; stored bytes are not written again."""
+    old = stored.select("asset_id", F.col("original_paths").alias("_old"))
+    none = F.array().cast("array<string>")
+    out = found.join(old, "asset_id", "left").withColumn("was_new", F.col("_old").isNull())
+    return out.withColumn("original_paths", F.array_distinct(F.concat(F.coalesce("_old", none), "original_paths"))).drop("_old")
+
+
+# Names that some file systems keep for devices.
+RESERVED = frozenset(["CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"LPT{i}" for i in range(1, 10)]])
 
 
 def asset_path(asset_id: str, name: str) -> str:
@@ -121,6 +139,8 @@ def asset_path(asset_id: str, name: str) -> str:
     stem = regex.sub(r"-{2,}", "-", regex.sub(r"[^\p{L}\p{N}_-]", "-", stem)).strip("-") or "asset"
     while len(stem.encode()) > 150:
         stem = stem[:-1]
+    if stem.upper() in RESERVED:
+        stem += "-file"
     return f"{asset_id[:2]}/{asset_id[:8]}-{stem}{ext.lower()}"
 
 
@@ -129,6 +149,12 @@ def package_digest(hashes: DataFrame, by: str, value: str) -> DataFrame:
     return hashes.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(value)), "\n"), 256).alias("digest"))
 
 
+def contained(path: str, base: str) -> bool:
+    """Does a path stay below its base once links and dots are resolved?"""
+    inside, outside = os.path.realpath(base), os.path.realpath(os.path.join(base, path))
+    return os.path.commonpath([inside, outside]) == inside
+
+
 def retrieval_bundle(spark: SparkSession, root: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """corpus (doc_id, title, text), queries (query_id, q), judgements (query_id, doc_id) of a BEIR-style folder.
 

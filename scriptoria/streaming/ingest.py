@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from scriptoria.operators.base import last_wins
+
 
 def changed(incoming: DataFrame, register: DataFrame) -> DataFrame:
     """Documents to persist: new, changed, inactive so far, without a time, or with images (whose files may have changed)."""
@@ -20,24 +22,31 @@ def changed(incoming: DataFrame, register: DataFrame) -> DataFrame:
     return fresh
 
 
-def merge_batch(path: str, key: str = "doc_id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row per key in versioned snapshots below ``path``.
+def merge_batch(path: str, key: str = "doc_id", order: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: every batch is one delta below ``path``, with the last row per key by ``order`` (equal ones: the larger row).
 
-    Snapshot n is written from n - 1 and the batch; a batch that is run again writes the same snapshot again, so the
-    sink is idempotent. ``path`` must be shared by all executors.
+    A batch that is run again writes the same delta again, so the sink is idempotent; nothing stored is rewritten.
+    ``path`` must be shared by all executors. ``merged`` reads the state, ``compact`` folds it.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            rows = old.join(rows, key, "left_anti").unionByName(rows, allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        last_wins(batch, [key], list(order)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return sink
 
 
+def merged(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """The last row of every key over all deltas."""
+    rows = spark.read.parquet(path)
+    return last_wins(rows, [key], ["batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, to: str, key: str = "doc_id") -> None:
+    """Write the state as one delta (the latest batch's) below a new path; later batches may go on there."""
+    latest = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    merged(spark, path, key).write.mode("overwrite").parquet(f"{to}/batch={latest}")
+
+
 def final_event(body: str | None) -> bool:
     try:
         return json.loads(body or "").get("type") == "final"
@@ -53,15 +62,16 @@ class Tape(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         nxt, closed = self.state.get() if self.state.exists() else (0, False)
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values(["seq", "event_id"]).itertuples():
-                if closed:
-                    continue
-                out.append((key[0], int(r.event_id), nxt))
-                nxt, closed = nxt + 1, final_event(r.body)
-            if out:
-                yield pd.DataFrame(out, columns=["task_id", "event_id", "new_seq"])
+        # All rows of the key in this micro-batch: Arrow hands them over in pieces that are in no order.
+        held = [p for p in rows if len(p)]
+        out = []
+        for r in pd.concat(held).sort_values(["seq", "event_id"]).itertuples() if held else ():
+            if closed:
+                break
+            out.append((key[0], int(r.event_id), nxt))
+            nxt, closed = nxt + 1, final_event(r.body)
+        if out:
+            yield pd.DataFrame(out, columns=["task_id", "event_id", "new_seq"])
         self.state.update((nxt, closed))
 
     def close(self) -> None:
