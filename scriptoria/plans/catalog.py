@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptoria.plans import base_plans, orphan_plans, quality_plans, retrieval_plans, search_plans
+from scriptoria.plans import base_plans, orphan_plans, quality_plans, retrieval_plans, search_plans, store_plans
 
-MODULES = [orphan_plans, retrieval_plans, search_plans, base_plans, quality_plans]
+MODULES = [orphan_plans, retrieval_plans, search_plans, base_plans, quality_plans, store_plans]
 
 
 def queries() -> dict:
