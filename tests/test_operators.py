@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptoria.functions import pages
-from scriptoria.operators import base, chunking, fixes, graph, lint, parsing, retrieval, stats, tape
+from scriptoria.operators import evals, ordering, search, base, chunking, fixes, graph, lint, parsing, retrieval, stats, tape
 
 
 def test_links_in_source_order():
@@ -190,15 +190,124 @@ def test_page_expressions(spark):
     assert spark.createDataFrame([("Über die Größe!",), ("知识",)], "t string").select(pages.slug(F.col("t"))).collect()[1][0] == "untitled"
 
 
-def test_bm25_in_place_equals_the_join(spark, rows):
+def test_bm25_and_knn_blocks_against_brute_force(spark, monkeypatch):
+    import math
     import random
 
     rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(30)] + ["字", "Über"]
-    chunks = spark.createDataFrame([(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 25)))) for i in range(300)] + [(900, None), (901, "")], "chunk_id long, text string")
-    queries = spark.createDataFrame([(i, " ".join(rng.choice(vocab) for _ in range(4)) + " AND") for i in range(40)] + [(90, ""), (91, None), (92, "absent")], "query_id long, q string")
-    asked = queries.select("query_id", F.explode(retrieval.query_terms(F.col("q"))).alias("term"))
-    sized = chunks.select("chunk_id", retrieval.word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL").withColumn("dl", F.size("tokens"))
-    near = lambda df: {(r["query_id"], r["rank"]): round(r["score"], 4) for r in df.collect()}
-    assert near(retrieval._bm25_in_place(asked, sized, 5)) == near(retrieval._bm25_join(asked, sized, 5))
+    vocab = [f"w{i}" for i in range(30)] + ["字", "über"]
+    texts = {i: " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 25))) for i in range(300)}
+    chunks = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in texts.items()] + [(900, None, True), (901, "", True)], "chunk_id long, text string, live boolean")
+    asked = {i: [rng.choice(vocab) for _ in range(4)] for i in range(40)}
+    queries = spark.createDataFrame([(i, " ".join(w) + " AND") for i, w in asked.items()] + [(90, ""), (91, None), (92, "absent")], "query_id long, q string")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 5)) for r in retrieval.bm25(queries, chunks, 5).collect()}
+    n, avg = 301, sum(len(t.split()) for t in texts.values()) / 301
+    df = {w: sum(w in t.split() for t in texts.values()) for w in vocab}
+    want = {}
+    for q, words in asked.items():
+        scores = []
+        for c, t in texts.items():
+            tf, dl = t.split(), len(t.split())
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf.count(w) * 2.2 / (tf.count(w) + 1.2 * (0.25 + 0.75 * dl / avg)) for w in set(words))
+            if s > 0 and c % 3 > 0:
+                scores.append((-round(s, 6), c))
+        want |= {(q, i + 1): (c, round(-s, 5)) for i, (s, c) in enumerate(sorted(scores)[:5])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert retrieval.bm25(queries.limit(0), chunks, 5).count() == 0 and retrieval.bm25(queries, chunks.limit(0), 5).count() == 0
+    # One chunk with many vectors takes one place, however many of them are near.
+    v = lambda a: [math.cos(a), math.sin(a)]
+    vec = spark.createDataFrame([(1, v(0.001 * i)) for i in range(200)] + [(2, v(0.5)), (3, v(0.6)), (4, [0.0, 0.0]), (5, None)], "chunk_id long, vec array<double>")
+    near = retrieval.knn(spark.createDataFrame([(i, v(0.0)) for i in range(9)], "query_id long, vec array<double>"), vec, 3, dim=2)
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in near.collect()) == [(i, k, k) for i in range(9) for k in (1, 2, 3)]
+
+
+def test_bootstrap_of_equal_rows(spark):
+    """Two thousand rows of 0 and 1: equal rows weigh on their own."""
+    b = stats.bootstrap(spark.range(2000).selectExpr("cast(id % 2 as double) AS x", "'same' AS k"), "x").first()
+    assert b["mean"] == 0.5 and 0.47 < b["low"] < 0.49 and 0.51 < b["high"] < 0.53
+    assert stats.bootstrap(spark.range(0).selectExpr("cast(id as double) AS x"), "x").first()["low"] is None
+
+
+def test_orphan_scores_by_all_terms(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    tags, words = ["a/x", "a/y", "b/x", "c", "a"], ["red", "Cat!", "Über", "two", "ＴＷＯ"]
+    pages = [(f"p{i:02}", " ".join(rng.sample(words, rng.randrange(4))) or None, rng.sample(tags, rng.randrange(4)) + [None, ""], rng.choice([None, ["s1"], ["s1", "s2", " "], ["s3"]])) for i in range(40)]
+    vecs = {i: [rng.uniform(-1, 1) for _ in range(4)] for i in rng.sample(range(40), 25)}
+    df = spark.createDataFrame(pages, "id string, title string, tags array<string>, sources array<string>")
+    vec = spark.createDataFrame([(f"p{i:02}", v) for i, v in vecs.items()] + [("p00", [1.0, 0.0, 0.0, 0.0])], "id string, vec array<float>")
+    monkeypatch.setattr(fixes, "ORPHAN_BLOCK", 5)
+    got = {(r["orphan"], r["rank"]): (r["other"], r["score"]) for r in fixes.orphan_candidates(fixes.signals(df, vec), df.where("id < 'p12'").select("id"), 2).collect()}
+    import unicodedata
+
+    import numpy as np
+
+    norm = lambda t: {w.strip("!") for w in unicodedata.normalize("NFKC", t or "").casefold().split()}
+    held = {f"p{i:02}": [np.array(v, dtype=np.float32).astype(float)] for i, v in vecs.items()}
+    held.setdefault("p00", []).append(np.array([1.0, 0, 0, 0]))
+    want = {}
+    for a in pages[:12]:
+        scored = []
+        for b in pages:
+            if a[0] == b[0]:
+                continue
+            ta, tb = {t for t in a[2] if t}, {t for t in b[2] if t}
+            da, db = {t.split("/")[0] for t in ta if "/" in t}, {t.split("/")[0] for t in tb if "/" in t}
+            wa, wb = norm(a[1]), norm(b[1])
+            cos = max((x @ y / np.linalg.norm(x) / np.linalg.norm(y) for x in held.get(a[0], []) for y in held.get(b[0], [])), default=0)
+            s = 3 * len({x for x in a[3] or () if x.strip()} & {x for x in b[3] or () if x.strip()}) + len(ta & tb) + 0.5 * len((da & db) - {t.split("/")[0] for t in ta & tb})
+            s += (2 * len(wa & wb) / len(wa | wb) if wa and wb else 0) + 3 * min(1, max(0, cos))
+            if round(s, 6) > 0:
+                scored.append((-round(s, 6), b[0]))
+        want |= {(a[0], i + 1): (o, -s) for i, (s, o) in enumerate(sorted(scored)[:2])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
+def test_near_links_over_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 8))
+    x[40:60] = x[0] + 0.05 * rng.normal(size=(20, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8)], "id long, vec array<double>")
+    got = {r["id"]: r["links"] for r in evals.near_links(df, 0.85, dim=8, block=17).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = ((u @ u.T).round(9) >= 0.85).sum(axis=1) - 1
+    assert got == {**{i: int(n[i]) for i in range(90)}, 500: 0, 501: 0}
+    d = evals.duplicate_ratio(evals.near_links(df, 0.85, dim=8)).first()
+    assert d["n_pairs"] == n.sum() / 2 and evals.duplicate_ratio(evals.near_links(df.limit(1), 0.85, dim=8)).first()["ratio"] == 0
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id * 7 % 2003 AS s", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r["id"]: r["n"] for r in ordering.numbered_within(df, "k", ["s", "id"], "n").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["k"], []).append((r["s"], r["id"]))
+    assert got == {i: n for rows in by.values() for n, (_, i) in enumerate(sorted(rows))}
+
+
+def test_search_legs_modes_and_assets(spark):
+    chunks = spark.createDataFrame([(1, "d1", 0, "red cat"), (2, "d1", 1, "red red dog"), (3, "d2", 0, "blue fish"), (4, "d3", 0, "gone cat"), (5, "d4", 0, "linked page")], "chunk_id long, doc_id string, seq int, text string")
+    docs = spark.createDataFrame([("d1", "p1", "T1", "source", True), ("d2", "p2", None, "source", True), ("d3", "p3", "T3", "source", False), ("d4", "p4", "T4", "knowledge", True)], "doc_id string, path string, title string, layer string, active boolean")
+    vec = spark.createDataFrame([(1, [1.0] + [0.0] * 63), (3, [0.0, 1.0] + [0.0] * 62), (4, [1.0] + [0.0] * 63)], "chunk_id long, vec array<double>")
+    links = spark.createDataFrame([("d1", "p4", "wikilink")] * 2 + [("d1", "p2", "markdown")], "src_doc_id string, dst_path string, link_type string")
+    pictures = spark.createDataFrame([("a", [0.0, 1.0] + [0.0] * 62)], "asset_id string, vec array<double>")
+    refs = spark.createDataFrame([(3, "a", 0), (5, "a", 0)], "chunk_id long, asset_id string, ord int")
+    q = spark.createDataFrame([(9, "red CAT", [0.6, 0.8] + [0.0] * 62), (8, "???", None)], "query_id long, q string, vec array<double>")
+    full = search.Base(chunks, docs, vec, links, pictures, refs)
+    got = {m: [(r["query_id"], r["chunk_id"]) for r in search.search(q, full, mode=m, graph=True).orderBy("query_id", "rank").collect()] for m in search.MODES}
+    assert got["bm25"] == [(9, 1), (9, 2)] and got["vector"] == [(9, 3), (9, 1)]
+    assert {c for _, c in got["hybrid"]} == {1, 2, 3, 5} and all(i == 9 for i, _ in got["hybrid"])
+    one = search.search(q, full, mode="hybrid", layer="knowledge", graph=True).collect()
+    assert [(r["chunk_id"], r["path"], r["assets"]) for r in one] == [(5, "p4", ["a"])]
+    pages = search.retrieve(q, full, limit=3)[1].collect()
+    assert {r["path"] for r in pages} <= {"p1", "p2", "p4"} and pages
+    again = search.search(q, full, rerank=lambda q, texts: [-len(t) for t in texts], limit=2).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in again] == [1, 3]
+    with pytest.raises(ValueError):
+        search.search(q, full, mode="other")

@@ -63,7 +63,10 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path, rows):
     sink(spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, v int"), 0)
     for _ in range(2):
         sink(spark.createDataFrame([("b", 2)], "doc_id string, v int"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "s/v=1"))) == [("a", 1), ("b", 2)]
+    assert rows(ingest.merged(spark, str(tmp_path / "s"))) == [("a", 1), ("b", 2)]
+    ingest.merge_batch(str(tmp_path / "s"), order=("at",))(spark.createDataFrame([("b", 9, 1), ("b", 3, 5), ("b", 4, 2)], "doc_id string, v int, at int"), 2)
+    ingest.compact(spark, str(tmp_path / "s"), str(tmp_path / "t"))
+    assert rows(ingest.merged(spark, str(tmp_path / "t")).select("doc_id", "v")) == rows(ingest.merged(spark, str(tmp_path / "s")).select("doc_id", "v")) == [("a", 1), ("b", 3)]
 
 
 def test_tape_stream_equals_batch(spark, tmp_path):
