@@ -30,6 +30,26 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return bodies.unionByName(chunks)
 
 
+def _joined(limit: int, overlap: int):
+    def step(a, x):
+        n, lap = F.length(x["piece"]), a["end"] - x["start_pos"]
+        ok = a["ok"] & (n <= limit) & (lap == F.least(F.lit(overlap), a["end"])) & (n > lap)
+        return F.struct((x["start_pos"] + n).alias("end"), F.concat(a["text"], F.substring(x["piece"], lap + 1, n)).alias("text"), ok.alias("ok"))
+
+    return step
+
+
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every item put together again from its pieces, and whether each piece keeps limit and overlap."""
+    out = None
+    for df, (limit, overlap) in zip(_items(spark, d), (BODY, CHUNK)):
+        made = df.where("text <> ''").dropDuplicates().select("item_table", "item_id", F.xxhash64("text").alias("version"), split.pieces(F.col("text"), limit, overlap).alias("p"))
+        whole = F.aggregate("p", F.expr("named_struct('end', 0, 'text', '', 'ok', true)"), _joined(limit, overlap))
+        rows = made.select("item_table", "item_id", whole.alias("w")).select("item_table", "item_id", F.sha2("w.text", 256).alias("text_hash"), F.col("w.ok").alias("kept"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(id, field_name, value) of all pages and (field_name, value, plain, is_case) of their distinct values."""
     pages = table(spark, d, "knowledge_pages")
@@ -65,6 +85,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("vec_a"), F.greatest("id", "neighbour").alias("vec_b")).distinct()
 
 
+def p4_forest(spark: SparkSession, d: str) -> DataFrame:
+    """``p4_found`` by a forest of many small leaves, some split again, so that it is no whole scan on small tables either."""
+    near = knn.neighbours(table(spark, d, "vec_index"), "vec_id", "embedding", "version_id", min_cos=0.82, leaf_rows=60, sample_rows=100, block=300)
+    return near.select(F.least("id", "neighbour").alias("vec_a"), F.greatest("id", "neighbour").alias("vec_b")).distinct()
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar vectors of every vector whose id is divisible by 100, against all of its version."""
     near = knn.neighbours(table(spark, d, "vec_index"), "vec_id", "embedding", "version_id", queries=lambda i: i % 100 == 0, exact=True)
@@ -118,27 +144,38 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "people_names")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_even_shares": p7_even_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_forest": p4_forest, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_even_shares": p7_even_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 _V = """v AS (SELECT DISTINCT vec_id, version_id, CAST(embedding AS DOUBLE[64]) AS e FROM vec_index
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 
+_RUNS = r"""w AS (SELECT DISTINCT id, regexp_extract_all(lower(body), '[\p{Han}\p{Hiragana}\p{Katakana}]|[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*|\p{N}+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*') AS w FROM knowledge_pages WHERE trim(body) <> ''),
+s AS (SELECT DISTINCT id, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)"""
+
 SQL = {
     "p2_found": """SELECT DISTINCT 'doc_records' AS item_table, doc_id AS item_id FROM doc_records WHERE length(body) > 4000
 UNION SELECT DISTINCT 'embed_queue', CAST(chunk_id AS VARCHAR) FROM embed_queue WHERE length(text) > 1600""",
     "p4_found": f"""WITH {_V}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(array_cosine_similarity(a.e, b.e), 12) AS s
   FROM v a JOIN v b ON a.version_id = b.version_id AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE n <= 5 AND s >= 0.82""",
+    "p4_forest": f"""WITH {_V}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(array_cosine_similarity(a.e, b.e), 12) AS s
+  FROM v a JOIN v b ON a.version_id = b.version_id AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c)
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE n <= 5 AND s >= 0.82""",
     "p4_neighbours": f"""WITH {_V}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(array_cosine_similarity(a.e, b.e), 12) AS s
   FROM v a JOIN v b ON a.version_id = b.version_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c)
 SELECT a AS id, b AS neighbour, round(s, 5) AS cosine FROM r WHERE n <= 5""",
-    "p5_found": r"""WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(body), '[\p{Han}\p{Hiragana}\p{Katakana}]|[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*|\p{N}+(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}]|\p{N})*') AS w FROM knowledge_pages WHERE trim(body) <> ''),
-s AS (SELECT DISTINCT id, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)""",
+    "p5_found": f"WITH {_RUNS} SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)",
+    "p5_groups": f"""WITH RECURSIVE {_RUNS}, cls AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM (SELECT id, list_sort(list(s)) AS k FROM s GROUP BY id)),
+pairs AS (SELECT id_a AS a, id_b AS b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c) AND id_a IN (SELECT rep FROM cls) AND id_b IN (SELECT rep FROM cls)),
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT cls.id, rep, coalesce((SELECT min(least(a, b)) FROM reach WHERE a = rep), rep) AS group_id, (SELECT count(*) FROM e WHERE a = rep) AS links FROM cls""",
+    "p2_rebuilt": """SELECT DISTINCT 'doc_records' AS item_table, doc_id AS item_id, sha256(body) AS text_hash, true AS kept FROM doc_records WHERE body <> ''
+UNION ALL SELECT DISTINCT 'embed_queue', CAST(chunk_id AS VARCHAR), sha256(text), true FROM embed_queue WHERE text <> ''""",
 }
 
 

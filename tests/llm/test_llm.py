@@ -319,8 +319,12 @@ def test_em_finds_the_unreliable_labeller():
 
 # --- queries ---------------------------------------------------------------------------------------------------
 
+#: No SQL: held against brute force, the Unicode standard, two tokenizers or known cases above.
+TESTED_OTHERWISE = {"p2_pieces", "p3_found", "p3_forms", "p6_ids", "p7_selection", "p7_shares", "p7_even_shares", "p8_found", "p8_redacted"}
+
+
 @have_data
 @pytest.mark.parametrize("name", list(plans.queries()))
 def test_query_matches_sql(spark, name):
     said = oracle_check.compare(spark, oracle_check.duck(DATA), name, DATA)
-    assert said.startswith(("ok", "rows-only")), said
+    assert said.startswith("rows-only" if name in TESTED_OTHERWISE else "ok"), said
