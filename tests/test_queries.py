@@ -16,7 +16,11 @@ def con():
     return oracle_check.duck(DATA)
 
 
+#: No SQL: held against golden spans or brute force in ``test_operators``.
+TESTED_OTHERWISE = {"win7_groups", "win8_chunks", "str19_fuzzy_targets"}
+
+
 @pytest.mark.parametrize("name", list(catalog.queries()))
 def test_matches_sql(spark, con, name):
     said = oracle_check.compare(spark, con, name, DATA)
-    assert said.startswith(("ok", "rows-only")), said
+    assert said.startswith("rows-only" if name in TESTED_OTHERWISE else "ok"), said
