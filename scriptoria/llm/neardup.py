@@ -34,7 +34,7 @@ def shingles(text: Column, words: int) -> Column:
 
     def runs(w: Column) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
-        return F.when(F.size(w) >= words, F.array_sort(F.array_distinct(made))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= words, F.sort_array(F.array_distinct(made))).otherwise(F.array().cast("array<bigint>"))
 
     # The words are bound as a lambda variable: as a column they would be worked out anew for every run. Each is hashed once.
     found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
