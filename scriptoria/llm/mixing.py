@@ -155,9 +155,10 @@ def fit_rates(soft: DataFrame, hard: np.ndarray, plan: Plan, rounds: int = 40, s
     """
     s, m = plan.want.shape
     own = np.zeros((s, m))
-    state = soft.withColumn("rates", F.array_repeat(F.lit(0.0), m))
+    # Written once, so that a round reads these rows only; shuffled, so that few of them are few tasks.
+    state = store(soft.repartition("key").withColumn("rates", F.array_repeat(F.lit(0.0), m)))
     kind = soft.schema["key"].dataType.simpleString()
-    some = soft.limit(1).count() > 0
+    some = state.limit(1).count() > 0
 
     def advanced(state: DataFrame, pushes: list[np.ndarray]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
