@@ -44,7 +44,19 @@ class Best:
 
     def add(self, scores: np.ndarray, keys: np.ndarray, first: int, floor: float) -> None:
         """``scores``: rows are queries from ``first`` on, columns are ``keys``; nothing below ``floor`` is taken."""
-        q, c = np.nonzero(scores >= np.maximum(self.least[first : first + len(scores)], floor)[:, None])
+        own, place = np.unique(keys, return_inverse=True)
+        if len(own) < len(keys):
+            order = np.argsort(place, kind="stable")
+            scores = np.maximum.reduceat(scores[:, order], np.searchsorted(place[order], np.arange(len(own))), axis=1)
+            keys = own
+        least = np.maximum(self.least[first : first + len(scores)], floor)
+        if scores.shape[1] > self.k:
+            # No more than the k best of a tile, and their ties, can be among the k best of all.
+            some = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > self.k)
+            if len(some):
+                at = scores.shape[1] - self.k
+                least[some] = np.maximum(least[some], np.partition(scores[some], at, axis=1)[:, at])
+        q, c = np.nonzero(scores >= least[:, None])
         if len(q):
             self.parts.append((q + first, keys[c], scores[q, c]))
             self.size += len(q)
