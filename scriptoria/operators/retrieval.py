@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.text import word_tokens
+from scriptoria.session import store
 
 K1, B = 1.2, 0.75
 OPERATORS = ("AND", "OR", "NOT", "NEAR")
@@ -32,6 +34,10 @@ def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
 #: Queries that one pass over the chunks holds; more of them take further passes.
 QUERY_BLOCK = 10_000
 TILE = 1000
+#: Tasks of all passes together, per core: every task sends k rows per query of its block.
+TASKS_PER_CORE = 3
+#: A term is a column of the matrix product, not a list of places, if so large a share of pairs of query and chunk holds it.
+COMMON = 0.006
 
 
 class Best:
@@ -40,52 +46,102 @@ class Best:
     def __init__(self, queries: int, k: int) -> None:
         self.k, self.least = k, np.full(queries, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size, self.most = 0, max(1 << 18, 3 * queries * k)
-
-    def add(self, scores: np.ndarray, keys: np.ndarray, first: int, floor: float) -> None:
-        """``scores``: rows are queries from ``first`` on, columns are ``keys``; nothing below ``floor`` is taken."""
-        own, place = np.unique(keys, return_inverse=True)
-        if len(own) < len(keys):
-            order = np.argsort(place, kind="stable")
-            scores = np.maximum.reduceat(scores[:, order], np.searchsorted(place[order], np.arange(len(own))), axis=1)
-            keys = own
-        least = np.maximum(self.least[first : first + len(scores)], floor)
-        if scores.shape[1] > self.k:
+        self.names: list[np.ndarray] = []
+        self.fresh = np.ones(queries, dtype=bool)
+        self.size, self.seen, self.cuts, self.most = 0, 0, 0, max(1 << 18, 3 * queries * k)
+
+    def tile(self, keys: np.ndarray) -> list:
+        """What ``add`` wants to know of the next columns: their keys, how equal ones go together, and (set there) where the keys are kept."""
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        return [keys, None if len(starts) == len(keys) else (order, starts), 0, -1]
+
+    def add(self, scores: np.ndarray, tile: list, first: int, floor: float, exact=None, slack: float = 5.1e-7) -> None:
+        """``scores``: rows are queries from ``first`` on, columns the keys of ``tile``; nothing below ``floor`` is taken.
+
+        What may count is rounded; where ``scores`` are only right to ``slack``, ``exact`` gives those of (rows, columns).
+        """
+        keys, twice, at, cuts = tile
+        if cuts != self.cuts:
+            at = self.seen
+            self.names.append(keys)
+            self.seen += len(keys)
+            tile[2:] = at, self.cuts
+        mine = slice(first, first + len(scores))
+        least = np.maximum(self.least[mine], floor)
+        once = scores if twice is None else np.maximum.reduceat(scores[:, twice[0]], twice[1], axis=1)
+
+        def tighten(rows):
             # No more than the k best of a tile, and their ties, can be among the k best of all.
-            some = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > self.k)
-            if len(some):
-                at = scores.shape[1] - self.k
-                least[some] = np.maximum(least[some], np.partition(scores[some], at, axis=1)[:, at])
-        q, c = np.nonzero(scores >= least[:, None])
-        if len(q):
-            self.parts.append((q + first, keys[c], scores[q, c]))
-            self.size += len(q)
-            if self.size > self.most:
-                self.settle()
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.parts:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, np.zeros(0)
+            for i in range(0, len(rows), TILE):
+                some = rows[i : i + TILE]
+                found = np.partition(once[some], once.shape[1] - self.k, axis=1)[:, once.shape[1] - self.k]
+                least[some] = np.maximum(least[some], found - slack)
+
+        if once.shape[1] > self.k:
+            tighten(np.flatnonzero(self.fresh[mine]))
+            self.fresh[mine] = False
+        bound = (least - slack).astype(scores.dtype)
+        hit = np.flatnonzero((scores >= bound[:, None]).ravel())
+        if len(hit) > 8 * self.k * len(scores) and once.shape[1] > self.k:
+            tighten(np.flatnonzero(np.bincount(hit // scores.shape[1], minlength=len(scores)) > 8 * self.k))
+            bound = (least - slack).astype(scores.dtype)
+            hit = np.flatnonzero((scores >= bound[:, None]).ravel())
+        if not len(hit):
+            return
+        q, c = np.divmod(hit, scores.shape[1])
+        value = np.round(scores.ravel()[hit] if exact is None else exact(q, c), 6)
+        self.least[mine] = np.where(least > floor, least, self.least[mine])
+        good = value >= floor
+        self.parts.append((q[good] + first, c[good] + at, value[good]))
+        self.size += int(good.sum())
+        if self.size > self.most:
+            self._cut()
+
+    def _cut(self) -> None:
         q, key, score = (np.concatenate(x) for x in zip(*self.parts))
-        number = np.unique(key, return_inverse=True)[1]
-        order = np.lexsort((-score, number, q))
-        order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(number[order]) != 0)]]
-        order = order[np.lexsort((number[order], -score[order], q[order]))]
+        held, place = np.unique(key, return_inverse=True)
+        names, number = np.unique(np.concatenate(self.names)[held], return_inverse=True)
+        number = number[place]
+        if len(names) < len(held):
+            order = np.lexsort((-score, number, q))
+            order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(number[order]) != 0)]]
+            q, number, score = q[order], number[order], score[order]
+        order = np.lexsort((number, -score, q))
         starts = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0])
         rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
         full = order[rank == self.k - 1]
         self.least[q[full]] = score[full]
         order = order[rank < self.k]
-        self.parts, self.size = [(q[order], key[order], score[order])], len(order)
-        return self.parts[0]
+        self.parts, self.size = [(q[order], number[order], score[order])], len(order)
+        self.names, self.seen, self.cuts = [names], len(names), self.cuts + 1
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of (query, key, score)."""
+        if not self.size:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        self._cut()
+        q, number, score = self.parts[0]
+        return q, self.names[0][number], score
 
 
-def _blocks(asked: DataFrame, column: str, block: int):
-    """The rows of ``asked`` as Arrow tables, by hash of the query, of about ``block`` queries each: no more is held at once."""
+def _blocks(asked: DataFrame, column: str, block: int) -> list[pa.Table]:
+    """The rows of ``asked`` as Arrow tables, by hash of the query, of about ``block`` queries each."""
     n = max(1, -(-asked.select("query_id").distinct().count() // block))
-    for i in range(n):
-        yield asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", column).toArrow()
+    return [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", column).toArrow() for i in range(n)]
+
+
+def _kept(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` as a table, so that every block's pass only reads it, in as many parts as give each core a few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return store(rows.repartition(max(1, -(-TASKS_PER_CORE * cores // max(1, blocks)))))
+
+
+def _sent(ids: list, best: Best):
+    q, key, value = best.settle()
+    if len(q):
+        yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(key.tolist()), pa.array(value)], ["query_id", "chunk_id", "score"])
 
 
 def ranked_by(rows: DataFrame, by: str, order: list) -> DataFrame:
@@ -99,74 +155,95 @@ def _weight(tf, dl, avgdl, df, n):
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank). ``queries``: query_id, q; ``chunks``: chunk_id, text, and perhaps ``live``.
 
-    Statistics cover every chunk; where ``live`` is given, only such chunks are answers. A block of queries is broadcast and
-    scored where the chunks are, over tiles of chunks; a task sends k rows per query.
+    Statistics cover every chunk; where ``live`` is given, only such chunks are answers. Texts are read once: what is kept of
+    a chunk is how often it holds each word that any query asks for. A block of queries is broadcast and scored where the
+    chunks are, over tiles of chunks; a task sends k rows per query. The distinct words of all queries are held at once.
     """
     spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term")).distinct()
+    asked = store(queries.select("query_id", F.explode(query_terms(F.col("q"))).alias("term")).distinct())
     live = F.coalesce(F.col("live"), F.lit(False)) if "live" in chunks.columns else F.lit(True)
-    sized = chunks.select("chunk_id", live.alias("live"), word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL").withColumn("dl", F.size("tokens"))
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
+    sized = chunks.select("chunk_id", live.alias("live"), word_tokens(F.col("text")).alias("tokens")).where("tokens IS NOT NULL")
+    q, c = (df.schema[n].dataType.simpleString() for df, n in ((queries, "query_id"), (chunks, "chunk_id")))
+    kind = f"query_id {q}, chunk_id {c}, score double"
+    blocks = _blocks(asked, "term", QUERY_BLOCK)
+    words = pa.concat_arrays([x.column("term").combine_chunks().cast(pa.string()) for x in blocks]).unique()
+    known = spark.sparkContext.broadcast(words)
+    counted = _kept(sized.mapInArrow(lambda batches: (_counted(b, known.value) for b in batches), f"chunk_id {c}, live boolean, dl int, terms array<int>, tf array<int>"), len(blocks))
+    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+
+    def holders(batches):
+        df = np.zeros(len(known.value), dtype=np.int64)
+        for b in batches:
+            df += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
+
+    df = np.zeros(len(words))
+    if len(words):
+        for r in counted.select("terms").mapInArrow(holders, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+            df[r["term"]] = r["df"]
     out = spark.createDataFrame([], kind)
-    for part in _blocks(asked, "term", QUERY_BLOCK):
-        rows = part.to_pydict()
-        ids = sorted(set(rows["query_id"]))
-        at = {q: i for i, q in enumerate(ids)}
-        wanted: dict[str, list[int]] = {}
-        for q, term in zip(rows["query_id"], rows["term"]):
-            wanted.setdefault(term, []).append(at[q])
-        if wanted:
-            out = out.unionByName(_bm25_block(sized, ids, wanted, n, avgdl, k, kind))
+    for part in blocks:
+        if part.num_rows and n:
+            out = out.unionByName(_bm25_block(counted, part, words, df, n, avgdl, k, kind))
     return top(out, "query_id", "score", "chunk_id", k)
 
 
-def _bm25_block(sized: DataFrame, ids: list, wanted: dict[str, list[int]], n: int, avgdl: float, k: int, kind: str) -> DataFrame:
-    spark = sized.sparkSession
-    terms = spark.sparkContext.broadcast(frozenset(wanted))
+def _counted(b: pa.RecordBatch, words: pa.Array) -> pa.RecordBatch:
+    """(chunk_id, live, tokens) to (chunk_id, live, dl, terms, tf): places of its words among ``words``, ascending, and their numbers."""
+    tokens = b.column(2)
+    dl = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    place = pc.index_in(tokens.flatten().cast(pa.string()), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(dl)), dl)[place >= 0]
+    pair, tf = np.unique(row * max(1, len(words)) + place[place >= 0], return_counts=True)
+    row, term = np.divmod(pair, max(1, len(words)))
+    offsets = pa.array(np.searchsorted(row, np.arange(len(dl) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf)]
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dl.astype(np.int32)), *lists], ["chunk_id", "live", "dl", "terms", "tf"])
 
-    def count(batches):
-        df: dict[str, int] = {}
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for x in terms.value.intersection(t):
-                    df[x] = df.get(x, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
 
-    counted = sized.select("tokens").mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    idf = {r["term"]: float(np.log(_weight(1, 1, 1, r["df"], n)[1] + 1)) for r in counted}
-    shared = spark.sparkContext.broadcast((ids, {t: (np.array(sorted(q)), idf[t]) for t, q in wanted.items() if t in idf}))
+def _bm25_block(counted: DataFrame, part: pa.Table, words: pa.Array, df: np.ndarray, n: int, avgdl: float, k: int, kind: str) -> DataFrame:
+    ids, q = np.unique(np.asarray(part.column("query_id").to_pylist()), return_inverse=True)
+    term = pc.index_in(part.column("term").combine_chunks().cast(pa.string()), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+    idf = np.log(_weight(1, 1, 1, df, n)[1] + 1)
+    order = np.lexsort((q, term))
+    shared = counted.sparkSession.sparkContext.broadcast((ids.tolist(), q[order], term[order], idf, df / n))
 
     def score(batches):
-        ids, plan = shared.value
-        best = Best(len(ids), k)
+        ids, q, term, idf, share = shared.value
+        asking = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(asking / len(ids) * share > COMMON)
+        column = np.full(len(idf), -1)
+        column[common] = np.arange(len(common))
+        of = np.zeros((len(ids), len(common)))
+        of[q[column[term] >= 0], column[term[column[term] >= 0]]] = 1.0
+        ends = np.r_[0, np.cumsum(asking)]
+        best, held = Best(len(ids), k), np.zeros(len(ids) * 2 * TILE)
         for whole in batches:
-            for first in range(0, whole.num_rows, TILE):
-                b = whole.slice(first, TILE)
-                chunk = np.asarray(b.column(0).to_pylist())
-                found: dict[str, tuple[list[int], list[float]]] = {}
-                for c, t in enumerate(b.column(1).to_pylist()):
-                    tf: dict[str, int] = {}
-                    for x in t:
-                        if x in plan:
-                            tf[x] = tf.get(x, 0) + 1
-                    for x, f in tf.items():
-                        p = found.setdefault(x, ([], []))
-                        p[0].append(c)
-                        p[1].append(plan[x][1] * _weight(f, len(t), avgdl, 1, 1)[0])
-                for low in range(0, len(ids), TILE):
-                    scores = np.zeros((min(TILE, len(ids) - low), len(chunk)))
-                    for x, (cols, w) in found.items():
-                        q = plan[x][0]
-                        q = q[np.searchsorted(q, low) : np.searchsorted(q, low + TILE)] - low
-                        if len(q):
-                            scores[np.ix_(q, cols)] += np.array(w)
-                    best.add(np.round(scores, 6), chunk, low, 1e-6)
-        q, key, value = best.settle()
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(key.tolist()), pa.array(value)], ["query_id", "chunk_id", "score"])
-
-    return sized.where("live").select("chunk_id", "tokens").mapInArrow(score, kind)
+            for first in range(0, whole.num_rows, 2 * TILE):
+                b = whole.slice(first, 2 * TILE)
+                dl = b.column(1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(dl)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                t, tf = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+                w = idf[t] * _weight(tf.astype(float), dl[row], avgdl, 1, 1)[0]
+                often = column[t] >= 0
+                dense = np.zeros((len(dl), len(common)))
+                dense[row[often], column[t[often]]] = w[often]
+                scores = held[: len(ids) * len(dl)].reshape(len(ids), len(dl))
+                if len(common):
+                    np.matmul(of, dense.T, out=scores)
+                else:
+                    scores[:] = 0
+                rest = np.flatnonzero(~often & (asking[t] > 0))
+                rest = rest[np.argsort(t[rest], kind="stable")]
+                starts = np.flatnonzero(np.r_[True, np.diff(t[rest]) != 0]) if len(rest) else []
+                for i, j in zip(starts, np.r_[starts[1:], len(rest)].astype(int) if len(rest) else []):
+                    at = rest[i:j]
+                    scores[q[ends[t[at[0]]] : ends[t[at[0]] + 1], None], row[at]] += w[at]
+                best.add(scores, best.tile(np.asarray(b.column(0).to_pylist())), 0, 1e-6)
+        yield from _sent(ids, best)
+
+    return counted.where("live").select("chunk_id", "dl", "terms", "tf").mapInArrow(score, kind)
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -187,11 +264,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFr
     chunks per query, so what is shuffled is k rows per query and task.
     """
     spark = vectors.sparkSession
-    asked = queries.where(usable_vector(F.col("vec"), dim))
-    stored = vectors.where(usable_vector(F.col("vec"), dim)).select("chunk_id", "vec")
+    asked = store(queries.where(usable_vector(F.col("vec"), dim)).select("query_id", "vec"))
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], kind)
-    for part in _blocks(asked, "vec", QUERY_BLOCK):
+    blocks = _blocks(asked, "vec", QUERY_BLOCK)
+    stored = _kept(vectors.where(usable_vector(F.col("vec"), dim)).select("chunk_id", "vec"), len(blocks))
+    for part in blocks:
         if not part.num_rows:
             continue
         ids = part.column("query_id").to_pylist()
@@ -199,16 +277,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFr
 
         def search(batches, shared=shared):
             ids, q = shared.value
-            best = Best(len(ids), k)
+            best, rough = Best(len(ids), k), q.astype(np.float32)
             for whole in batches:
                 for first in range(0, whole.num_rows, 4 * TILE):
                     b = whole.slice(first, 4 * TILE)
-                    chunk, x = np.asarray(b.column(0).to_pylist()), _rows(b.column(1), dim)
+                    x = _rows(b.column(1), dim)
+                    tile, short = best.tile(np.asarray(b.column(0).to_pylist())), np.ascontiguousarray(x.astype(np.float32).T)
                     for low in range(0, len(ids), TILE):
-                        best.add(np.round(q[low : low + TILE] @ x.T, 6), chunk, low, -2.0)
-            at, key, value = best.settle()
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.array(key.tolist()), pa.array(value)], ["query_id", "chunk_id", "score"])
+                        exact = lambda i, j, low=low: np.concatenate([np.einsum("ij,ij->i", q[i[n : n + 50_000] + low], x[j[n : n + 50_000]]) for n in range(0, len(i), 50_000)])
+                        best.add(rough[low : low + TILE] @ short, tile, low, -2.0, exact, 1e-5)
+            yield from _sent(ids, best)
 
         out = out.unionByName(stored.mapInArrow(search, kind))
     folded = out.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import pages as rules
 from scriptoria.operators import retrieval as op
+from scriptoria.session import store
 
 MODES = ("bm25", "vector", "hybrid")
 FUSIONS = ("rrf", "combsum", "combmnz")
@@ -82,20 +83,20 @@ def fused(
     """
     if mode not in MODES or fusion not in FUSIONS:
         raise ValueError(f"mode is one of {MODES}, fusion one of {FUSIONS}")
-    live = live_chunks(base, layer)
+    live = store(live_chunks(base, layer))
     parts: dict[str, tuple[DataFrame, float]] = {}
     asked = queries.select("query_id", "vec") if "vec" in queries.columns else None
     if mode != "vector":
-        parts["bm25"] = (word_leg(queries.select("query_id", "q"), base, live, per_leg), weights["bm25"])
+        parts["bm25"] = (store(word_leg(queries.select("query_id", "q"), base, live, per_leg)), weights["bm25"])
     if mode != "bm25" and base.vectors is not None and asked is not None:
-        parts["vector"] = (vector_leg(asked, base, live, per_leg), weights["vector"])
+        parts["vector"] = (store(vector_leg(asked, base, live, per_leg)), weights["vector"])
     if mode == "hybrid" and base.asset_vectors is not None and base.refs is not None and asked is not None:
-        parts["asset"] = (asset_leg(asked, base, live, per_leg), weights["asset"])
+        parts["asset"] = (store(asset_leg(asked, base, live, per_leg)), weights["asset"])
     if not parts:
         raise ValueError("the vector mode needs vectors of chunks and of queries")
     if mode == "hybrid" and graph and base.links is not None:
         both = {n: parts[n][0].where(F.col("rank") <= seed_top) for n in ("vector", "bm25") if n in parts}
-        seeds = op.interleave(**both).where(F.col("rank") <= seed_top).select("query_id", "chunk_id")
+        seeds = store(op.interleave(**both).where(F.col("rank") <= seed_top).select("query_id", "chunk_id"))
         parts["graph"] = (graph_leg(seeds, base, live, per_leg), weights["graph"])
     legs = op.legs(**parts)
     made = op.rrf(legs, rrf_k) if fusion == "rrf" else op.comb(legs, mnz=fusion == "combmnz")
@@ -118,6 +119,8 @@ def search(queries: DataFrame, base: Base, *, limit: int = 10, rerank: Callable[
 
     ``rerank`` scores the best ``max(window, limit)`` anew, in hybrid mode only; a scorer that fails leaves the fused order.
     """
+    # Legs, fusion and hydration each read these: what they are made of is worked out once.
+    queries, base = store(queries), base._replace(chunks=store(base.chunks), docs=store(base.docs))
     hits = fused(queries, base, mode=mode, **how)
     if rerank is not None and mode == "hybrid":
         docs = base.chunks.select("chunk_id", "doc_id")

@@ -311,3 +311,30 @@ def test_search_legs_modes_and_assets(spark):
     assert [r["chunk_id"] for r in again] == [1, 3]
     with pytest.raises(ValueError):
         search.search(q, full, mode="other")
+
+
+def _counted_base(spark):
+    """A base whose chunks and vectors count how often their rows are made."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("chunks", "vectors")}
+
+    def told(df, n):
+        def run(batches, of=seen[n]):
+            for b in batches:
+                of.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i % 7}", 0, f"word{i % 5} word{i % 3} and more") for i in range(30)], "chunk_id string, doc_id string, seq int, text string")
+    docs = spark.createDataFrame([(f"d{i}", f"p/{i}.md", f"T{i}", "knowledge", True) for i in range(7)], "doc_id string, path string, title string, layer string, active boolean")
+    vec = spark.createDataFrame([(f"c{i}", [float(i % 7 + 1)] * 32 + [float(i % 4)] * 32) for i in range(30)], "chunk_id string, vec array<double>")
+    links = spark.createDataFrame([("d0", "p/1.md", "wikilink"), ("d2", "p/3.md", "wikilink")], "src_doc_id string, dst_path string, link_type string")
+    queries = spark.createDataFrame([(i, f"word{i % 5} more", [1.0] * 32 + [float(i % 4)] * 32) for i in range(20)], "query_id long, q string, vec array<double>")
+    return queries, search.Base(told(chunks, "chunks"), docs, told(vec, "vectors"), links), seen
+
+
+def test_hybrid_search_makes_its_tables_once_for_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    queries, base, seen = _counted_base(spark)
+    assert search.search(queries, base, graph=True, limit=3).count() == 60
+    assert {n: a.value for n, a in seen.items()} == {"chunks": 30, "vectors": 30}
