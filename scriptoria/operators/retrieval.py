@@ -132,7 +132,7 @@ def _blocks(asked: DataFrame, column: str, block: int) -> list[pa.Table]:
     return [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", column).toArrow() for i in range(n)]
 
 
-def _kept(rows: DataFrame, blocks: int) -> DataFrame:
+def spread(rows: DataFrame, blocks: int) -> DataFrame:
     """``rows`` as a table, so that every block's pass only reads it, in as many parts as give each core a few tasks."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return store(rows.repartition(max(1, -(-TASKS_PER_CORE * cores // max(1, blocks)))))
@@ -168,7 +168,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     blocks = _blocks(asked, "term", QUERY_BLOCK)
     words = pa.concat_arrays([x.column("term").combine_chunks().cast(pa.string()) for x in blocks]).unique()
     known = spark.sparkContext.broadcast(words)
-    counted = _kept(sized.mapInArrow(lambda batches: (_counted(b, known.value) for b in batches), f"chunk_id {c}, live boolean, dl int, terms array<int>, tf array<int>"), len(blocks))
+    counted = spread(sized.mapInArrow(lambda batches: (_counted(b, known.value) for b in batches), f"chunk_id {c}, live boolean, dl int, terms array<int>, tf array<int>"), len(blocks))
     n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
 
     def holders(batches):
@@ -268,7 +268,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFr
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], kind)
     blocks = _blocks(asked, "vec", QUERY_BLOCK)
-    stored = _kept(vectors.where(usable_vector(F.col("vec"), dim)).select("chunk_id", "vec"), len(blocks))
+    stored = spread(vectors.where(usable_vector(F.col("vec"), dim)).select("chunk_id", "vec"), len(blocks))
     for part in blocks:
         if not part.num_rows:
             continue

@@ -338,3 +338,34 @@ def test_hybrid_search_makes_its_tables_once_for_all_blocks(spark, monkeypatch):
     queries, base, seen = _counted_base(spark)
     assert search.search(queries, base, graph=True, limit=3).count() == 60
     assert {n: a.value for n, a in seen.items()} == {"chunks": 30, "vectors": 30}
+
+
+def test_fuzzy_targets_compares_only_what_can_be_alike(spark, monkeypatch, tmp_path):
+    import difflib
+    import random
+
+    asked = str(tmp_path / "asked")
+    whole = difflib.SequenceMatcher
+
+    class Told(whole):
+        def ratio(self):
+            with open(asked, "a") as f:
+                f.write("x\n")
+            return super().ratio()
+
+    rng = random.Random(5)
+    stems = ["".join(rng.sample("abcdefghijkl", 12)) for _ in range(150)]
+    wrong = stems[:10] + [x[:5] + "z" + x[6:] for x in stems[10:20]]
+    monkeypatch.setattr(fixes, "TILE", 40)
+    monkeypatch.setattr(fixes, "STEM_BLOCK", 6)
+    monkeypatch.setattr(difflib, "SequenceMatcher", Told)
+    best: dict = {}
+    order = sorted(wrong, key=len)
+    fixes._closest(order, stems, stems, 0.85 - 1e-6, best)
+    want = {i: min((-round(whole(None, a, b, autojunk=False).ratio(), 6), b) for b in stems) for i, a in enumerate(order)}
+    assert best == {i: x for i, x in want.items() if -x[0] >= 0.85}
+    # All stems hold the same twelve characters, so the bound by characters alone lets every pair pass.
+    assert len(open(asked).readlines()) < 150 < len(order) * len(stems)
+    monkeypatch.setattr(difflib, "SequenceMatcher", whole)
+    got = fixes.fuzzy_targets(spark.createDataFrame([(x,) for x in wrong], "target string"), spark.createDataFrame([(x,) for x in stems], "path string"))
+    assert {r["target"]: (-r["ratio"], r["path"]) for r in got.collect()} == {order[i]: x for i, x in best.items()}
