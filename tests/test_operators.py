@@ -380,3 +380,15 @@ def test_fuzzy_targets_compares_only_what_can_be_alike(spark, monkeypatch, tmp_p
     monkeypatch.setattr(difflib, "SequenceMatcher", whole)
     got = fixes.fuzzy_targets(spark.createDataFrame([(x,) for x in wrong], "target string"), spark.createDataFrame([(x,) for x in stems], "path string"))
     assert {r["target"]: (-r["ratio"], r["path"]) for r in got.collect()} == {order[i]: x for i, x in best.items()}
+
+
+@pytest.mark.parametrize("how", ["retrieve", "combsum"])
+def test_retrieve_and_combsum_make_their_tables_once_for_all_blocks(spark, monkeypatch, how):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    queries, base, seen = _counted_base(spark)
+    if how == "retrieve":
+        pages = search.retrieve(queries, base, graph=True, limit=3)[1].collect()
+        assert sum(len(r["chunk_ids"]) for r in pages) == 60
+    else:
+        assert search.search(queries, base, graph=True, fusion="combsum", limit=3).count() == 60
+    assert {n: a.value for n, a in seen.items()} == {"chunks": 30, "vectors": 30}
