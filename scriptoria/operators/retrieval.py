@@ -34,12 +34,34 @@ def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
 #: Queries that one pass over the chunks holds; more of them take further passes.
 QUERY_BLOCK = 10_000
 TILE = 1000
+#: Queries whose scores over a tile of chunks are held at once, few enough to stay in the cache.
+QUERY_TILE = 500
 #: Tasks of all passes together, per core: every task sends k rows per query of its block.
 TASKS_PER_CORE = 3
 #: A term is a column of the matrix product, not a list of places, if so large a share of pairs of query and chunk holds it.
 COMMON = 0.006
 
 
+def _sorted(q: np.ndarray, number: np.ndarray, score: np.ndarray, by_score: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By query, then by falling score and number, or by number and falling score. ``score`` is rounded to six places.
+
+    The three go into one integer where they fit, as plain integers sort many times faster.
+    """
+    micro = np.rint(score * 1e6)
+    most = micro.max()
+    span, ids = most - micro.min(), int(number.max()) + 1
+    bits = [int(x).bit_length() for x in (q.max(), span, ids)]
+    if not np.isfinite(span) or sum(bits) > 62:
+        order = np.lexsort((number, -score, q) if by_score else (-score, number, q))
+        return q[order], number[order], score[order]
+    down = (most - micro).astype(np.int64)
+    high, low, wide = (down, number, bits[2]) if by_score else (number, down, bits[1])
+    key = np.sort((q << (bits[1] + bits[2])) | (high << wide) | low)
+    high, low = (key >> wide) & ((1 << (bits[1] + bits[2] - wide)) - 1), key & ((1 << wide) - 1)
+    down, number = (high, low) if by_score else (low, high)
+    return key >> (bits[1] + bits[2]), number, (most - down) / 1e6
+
+
 class Best:
     """The ``k`` best (key, score) of every query seen so far, ties to the smaller key; a key counts once, at its best."""
 
@@ -81,11 +103,12 @@ class Best:
         if once.shape[1] > self.k:
             tighten(np.flatnonzero(self.fresh[mine]))
             self.fresh[mine] = False
-        bound = (least - slack).astype(scores.dtype)
+        # What is below the floor by more than rounding mends is no answer, whatever the slack.
+        bound = np.maximum(least - slack, floor - 7e-7).astype(scores.dtype)
         hit = np.flatnonzero((scores >= bound[:, None]).ravel())
         if len(hit) > 8 * self.k * len(scores) and once.shape[1] > self.k:
             tighten(np.flatnonzero(np.bincount(hit // scores.shape[1], minlength=len(scores)) > 8 * self.k))
-            bound = (least - slack).astype(scores.dtype)
+            bound = np.maximum(least - slack, floor - 7e-7).astype(scores.dtype)
             hit = np.flatnonzero((scores >= bound[:, None]).ravel())
         if not len(hit):
             return
@@ -104,16 +127,16 @@ class Best:
         names, number = np.unique(np.concatenate(self.names)[held], return_inverse=True)
         number = number[place]
         if len(names) < len(held):
-            order = np.lexsort((-score, number, q))
-            order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(number[order]) != 0)]]
-            q, number, score = q[order], number[order], score[order]
-        order = np.lexsort((number, -score, q))
-        starts = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0])
-        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        full = order[rank == self.k - 1]
+            q, number, score = _sorted(q, number, score, by_score=False)
+            new = np.r_[True, (np.diff(q) != 0) | (np.diff(number) != 0)]
+            q, number, score = q[new], number[new], score[new]
+        q, number, score = _sorted(q, number, score)
+        starts = np.flatnonzero(np.r_[True, np.diff(q) != 0])
+        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        full = rank == self.k - 1
         self.least[q[full]] = score[full]
-        order = order[rank < self.k]
-        self.parts, self.size = [(q[order], number[order], score[order])], len(order)
+        kept = rank < self.k
+        self.parts, self.size = [(q[kept], number[kept], score[kept])], int(kept.sum())
         self.names, self.seen, self.cuts = [names], len(names), self.cuts + 1
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +229,7 @@ def _bm25_block(counted: DataFrame, part: pa.Table, words: pa.Array, df: np.ndar
     ids, q = np.unique(np.asarray(part.column("query_id").to_pylist()), return_inverse=True)
     term = pc.index_in(part.column("term").combine_chunks().cast(pa.string()), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
     idf = np.log(_weight(1, 1, 1, df, n)[1] + 1)
-    order = np.lexsort((q, term))
+    order = np.lexsort((term, q))
     shared = counted.sparkSession.sparkContext.broadcast((ids.tolist(), q[order], term[order], idf, df / n))
 
     def score(batches):
@@ -215,10 +238,13 @@ def _bm25_block(counted: DataFrame, part: pa.Table, words: pa.Array, df: np.ndar
         common = np.flatnonzero(asking / len(ids) * share > COMMON)
         column = np.full(len(idf), -1)
         column[common] = np.arange(len(common))
+        often = column[term] >= 0
         of = np.zeros((len(ids), len(common)))
-        of[q[column[term] >= 0], column[term[column[term] >= 0]]] = 1.0
-        ends = np.r_[0, np.cumsum(asking)]
-        best, held = Best(len(ids), k), np.zeros(len(ids) * 2 * TILE)
+        of[q[often], column[term[often]]] = 1.0
+        rough, q_rare, t_rare = of.astype(np.float32), q[~often], term[~often]
+        # Weights are not negative, so sums of float32 are right to so many of its last places of the largest sum there can be.
+        slack = 5.1e-7 + 2.0**-24 * (len(common) + np.bincount(q).max() + 8) * (K1 + 1) * np.bincount(q, weights=idf[term]).max()
+        best, held = Best(len(ids), k), np.zeros(QUERY_TILE * 2 * TILE, dtype=np.float32)
         for whole in batches:
             for first in range(0, whole.num_rows, 2 * TILE):
                 b = whole.slice(first, 2 * TILE)
@@ -229,18 +255,31 @@ def _bm25_block(counted: DataFrame, part: pa.Table, words: pa.Array, df: np.ndar
                 often = column[t] >= 0
                 dense = np.zeros((len(dl), len(common)))
                 dense[row[often], column[t[often]]] = w[often]
-                scores = held[: len(ids) * len(dl)].reshape(len(ids), len(dl))
-                if len(common):
-                    np.matmul(of, dense.T, out=scores)
-                else:
-                    scores[:] = 0
+                short, tile = np.ascontiguousarray(dense.astype(np.float32).T), best.tile(np.asarray(b.column(0).to_pylist()))
                 rest = np.flatnonzero(~often & (asking[t] > 0))
                 rest = rest[np.argsort(t[rest], kind="stable")]
-                starts = np.flatnonzero(np.r_[True, np.diff(t[rest]) != 0]) if len(rest) else []
-                for i, j in zip(starts, np.r_[starts[1:], len(rest)].astype(int) if len(rest) else []):
-                    at = rest[i:j]
-                    scores[q[ends[t[at[0]]] : ends[t[at[0]] + 1], None], row[at]] += w[at]
-                best.add(scores, best.tile(np.asarray(b.column(0).to_pylist())), 0, 1e-6)
+                ends = np.r_[0, np.cumsum(np.bincount(t[rest], minlength=len(idf)))]
+                row, w = row[rest], w[rest]
+                rough_w = w.astype(np.float32)
+                for low in range(0, len(ids), QUERY_TILE):
+                    size = min(QUERY_TILE, len(ids) - low), len(dl)
+                    scores = held[: size[0] * size[1]].reshape(size)
+                    np.matmul(rough[low : low + QUERY_TILE], short, out=scores)
+                    some = slice(*np.searchsorted(q_rare, (low, low + QUERY_TILE)))
+                    start = ends[t_rare[some]]
+                    many = ends[t_rare[some] + 1] - start
+                    place = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    cell = np.repeat((q_rare[some] - low) * len(dl), many) + row[place]
+                    np.add.at(scores.ravel(), cell, rough_w[place])
+
+                    def exact(i, j, low=low, cell=cell, place=place, dense=dense, w=w, size=size):
+                        value = np.concatenate([np.einsum("ij,ij->i", of[i[n : n + 50_000] + low], dense[j[n : n + 50_000]]) for n in range(0, len(i), 50_000)])
+                        hit, wanted = i * size[1] + j, np.zeros(size[0] * size[1], dtype=bool)
+                        wanted[hit] = True
+                        mine = np.flatnonzero(wanted[cell])
+                        return value + np.bincount(np.searchsorted(hit, cell[mine]), weights=w[place[mine]], minlength=len(hit))
+
+                    best.add(scores, tile, low, 1e-6, exact, slack)
         yield from _sent(ids, best)
 
     return counted.where("live").select("chunk_id", "dl", "terms", "tf").mapInArrow(score, kind)

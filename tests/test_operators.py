@@ -392,3 +392,52 @@ def test_retrieve_and_combsum_make_their_tables_once_for_all_blocks(spark, monke
     else:
         assert search.search(queries, base, graph=True, fusion="combsum", limit=3).count() == 60
     assert {n: a.value for n, a in seen.items()} == {"chunks": 30, "vectors": 30}
+
+
+def test_words_are_scored_in_small_tiles_and_ranked_exactly(spark):
+    """Scores of a tile are held for few queries at once, as float32; what is answered is as exact as in float64."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n_q, n_c, n_w, k = 3000, 2500, 400, 5
+    share = np.r_[np.full(20, 0.3), np.full(n_w - 20, 0.004)]
+    share[-1] = 1 / n_c
+    tf = (rng.random((n_c, n_w)) < share) * rng.integers(1, 3, (n_c, n_w))
+    dl = np.maximum(1, tf.sum(axis=1)) + rng.integers(0, 2, n_c)
+    tf[:, -1] = np.arange(n_c) == 7
+    asks = rng.random((n_q, n_w)) < np.r_[np.full(20, 0.25), np.full(n_w - 20, 0.005)]
+    asks[0], asks[1] = False, np.arange(n_w) == n_w - 1
+    lists = lambda of: pa.array([x[y > 0].tolist() for x, y in zip(of, tf)], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(n_c)]), pa.array(dl, pa.int32()), lists(np.tile(np.arange(n_w), (n_c, 1))), lists(tf)], ["chunk_id", "dl", "terms", "tf"])
+    q, term = np.nonzero(asks)
+    words, df = pa.array([f"w{i}" for i in range(n_w)]), (tf > 0).sum(axis=0).astype(float)
+    counted = SimpleNamespace(sparkSession=spark, mapInArrow=lambda f, kind: f)
+    counted.where = counted.select = lambda *_: counted
+    score = retrieval._bm25_block(counted, pa.table({"query_id": q, "term": words.take(pa.array(term))}), words, df, n_c, dl.mean(), k, "")
+    tracemalloc.start()
+    got = [(r["query_id"], r["chunk_id"], r["score"]) for b in score([batch]) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    weight = np.log(1 + (n_c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[:, None] / dl.mean()))
+    want, names = [], np.array([f"c{i}" for i in range(n_c)])
+    for i, row in enumerate(np.round(asks.astype(float) @ weight.T, 6)):
+        some = np.flatnonzero(row >= 1e-6)
+        want += [(i, names[j], row[j]) for j in some[np.lexsort((names[some], -row[some]))[:k]]]
+    assert sorted(x[:2] for x in got) == sorted(x[:2] for x in want) and [x for x in got if x[0] < 2][0][:2] == (1, "c7")
+    assert max(abs(a[2] - b[2]) for a, b in zip(sorted(got), sorted(want))) < 1e-9
+    assert most < 40e6
+
+
+def test_best_sorts_as_by_three_keys():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for wide in (1, 1e12):
+        q, number, score = rng.integers(0, 50, 3000), rng.integers(0, 90, 3000), np.round(rng.choice([-1.5, 0, 0.25, 7.123456], 3000) * wide, 6)
+        for by_score, keys in ((True, (number, -score, q)), (False, (-score, number, q))):
+            order = np.lexsort(keys)
+            assert all((a == b[order]).all() for a, b in zip(retrieval._sorted(q, number, score, by_score), (q, number, score)))
