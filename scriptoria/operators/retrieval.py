@@ -70,7 +70,7 @@ class Best:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.names: list[np.ndarray] = []
         self.fresh = np.ones(queries, dtype=bool)
-        self.size, self.seen, self.cuts, self.most = 0, 0, 0, max(1 << 18, 3 * queries * k)
+        self.size, self.seen, self.cuts, self.most = 0, 0, 0, max(1 << 18, 2 * queries * k)
 
     def tile(self, keys: np.ndarray) -> list:
         """What ``add`` wants to know of the next columns: their keys, how equal ones go together, and (set there) where the keys are kept."""
